@@ -61,3 +61,19 @@ def hot_join(big: DataFrame, small: DataFrame, key: str, weight: str, how: str =
 
 def empty_if_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Adds ``_tag``, a hash of id and text: with the id it names a row; only rows repeated as a whole share it."""
+    return docs.withColumn("_tag", F.xxhash64(F.col(id_col), F.col(text_col)))
+
+
+def without_rows(docs: DataFrame, rejected: DataFrame, keep_listed: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose ``(doc_id, _tag)`` is not in ``rejected`` (or, with ``keep_listed``, is in it).
+
+    ``rejected`` should be a table on disk: its size is then known when the join is planned, and a small one costs no shuffle.
+    """
+    listed = rejected.select(F.col("doc_id").alias("_id"), F.col("_tag").alias("_tag2")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_tag2"))
+    columns = docs.columns
+    return row_key(docs).join(listed, same, "left_semi" if keep_listed else "left_anti").select(*columns)

@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindle.llm import language, matroska, mixing, toxicity
 from spindle.llm.common import table
 from spindle.llm.exact_dedup import exact_dedup
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(table(spark, sf_dir, "pages"))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.read_back(matroska.encode(table(spark, sf_dir, "documents")))
+
+
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -18,5 +40,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
+        "pages_language_id": pages_language_id,
+        "op4_media_columns": op4_media_columns,
+        "op6_mixing_sources": op6_mixing_sources,
+        "op8_toxicity": op8_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
     }
