@@ -77,3 +77,11 @@ def without_rows(docs: DataFrame, rejected: DataFrame, keep_listed: bool = False
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_tag2"))
     columns = docs.columns
     return row_key(docs).join(listed, same, "left_semi" if keep_listed else "left_anti").select(*columns)
+
+
+#: Stands for a null id in orders and join keys: after all others.
+LAST_ID = (1 << 63) - 1
+
+
+def order_id(id_col: str = "doc_id") -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import language, matroska, mixing, toxicity
+from spindle.llm import jaccard, language, lines, matroska, mixing, toxicity
 from spindle.llm.common import table
 from spindle.llm.exact_dedup import exact_dedup
 
@@ -24,10 +24,20 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_back(matroska.encode(table(spark, sf_dir, "documents")))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -43,7 +53,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "pages_language_id": pages_language_id,
         "op4_media_columns": op4_media_columns,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_mixing_sources": op6_mixing_sources,
+        "op7_line_dedup": op7_line_dedup,
         "op8_toxicity": op8_toxicity,
         "op10_exact_dedup": op10_exact_dedup,
     }

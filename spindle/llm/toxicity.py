@@ -28,8 +28,8 @@ from spindle.llm.common import cut
 
 SAMPLE_ROWS = 16_000  #: labelled rows that the model is fitted on, at most
 BUCKETS = 1 << 20
-FEATURES = 1024  #: hashed terms that the machine knows
-MIN_ROWS = 3  #: sampled rows that a term must be in
+FEATURES = 512  #: hashed terms that the machine knows
+MIN_ROWS = 5  #: sampled rows that a term must be in
 FACTORS = 4
 ITERATIONS = 80
 THRESHOLD = 0.7
