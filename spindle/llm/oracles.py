@@ -1,6 +1,21 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+        ),
+        w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d),
+        g AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 19], ' ')) AS h FROM w),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM g),
+        c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE k > 1) GROUP BY doc_id),
+        k AS (
+            SELECT d.doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+                   list_filter(ws, lambda x, j: gone IS NULL OR NOT list_contains(gone, j)) AS kept
+            FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+        )
+        SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+    """,
     "op5_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(

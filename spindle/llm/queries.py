@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import jaccard, language, lines, matroska, mixing, toxicity
+from spindle.llm import jaccard, language, lines, matroska, mixing, sentencepiece_lattice, substring_dedup, toxicity
 from spindle.llm.common import table
 from spindle.llm.exact_dedup import exact_dedup
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -20,6 +24,12 @@ def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_lattice.decode(sentencepiece_lattice.encode(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                      F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_back(matroska.encode(table(spark, sf_dir, "documents")))
 
@@ -50,8 +60,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_language_id": op2_language_id,
         "pages_language_id": pages_language_id,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_media_columns": op4_media_columns,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_mixing_sources": op6_mixing_sources,
