@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import jaccard, language, lines, matroska, mixing, sentencepiece_lattice, substring_dedup, toxicity
+from spindle.llm import html_extract, jaccard, language, lines, matroska, mixing, sentencepiece_lattice, substring_dedup, toxicity
 from spindle.llm.common import table
 from spindle.llm.exact_dedup import exact_dedup
 
@@ -53,6 +53,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -69,5 +74,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing_sources": op6_mixing_sources,
         "op7_line_dedup": op7_line_dedup,
         "op8_toxicity": op8_toxicity,
+        "op9_html_extraction": op9_html_extraction,
         "op10_exact_dedup": op10_exact_dedup,
     }
