@@ -53,6 +53,9 @@ def build(spark: SparkSession, sf_dir: str) -> Catalog:
     catalog.add(DataObject("sales", read("lineitem"), cube=True, fields=(Field("l_quantity", measurement="sum"), Field("l_extendedprice", measurement="max"))))
     catalog.add(DataObject("live_orders", read("orders"), pk=("o_orderkey",), soft_delete="o_orderstatus <> 'P'"))
     catalog.add(DataObject("sized_parts", lambda s: read("part")(s).withColumn("size_range", R.make(F.col("p_size") - 5, F.col("p_size") + 5)), pk=("p_partkey",)))
+    shaped = lambda s: read("part")(s).withColumns({"words": F.split("p_type", " "), "spec": F.struct("p_size", F.struct("p_brand", "p_type").alias("kind"))})
+    catalog.add(DataObject("shaped_parts", shaped, pk=("p_partkey",)))
+    catalog.embedder = lambda text: [((len(text) * k) % 64 - 32) / 32.0 for k in range(64)]
     place = lambda k: (F.pmod(F.col("user_id") * k, F.lit(360)) / 2.0).cast("double")
     catalog.add(DataObject("visits", lambda s: read("events")(s).withColumns({"lon": place(37) - 90, "lat": place(11) - 90 + F.col("value") / 100}), pk=("event_id",)))
     for t in ("orders", "customer"):
@@ -62,6 +65,7 @@ def build(spark: SparkSession, sf_dir: str) -> Catalog:
                            args=("status",), required_args=("least",), pk=("o_orderkey",)))
     catalog.add_function(
         FunctionDef("discounted", sql="[price] * (1 - [rate])", args=("price", "rate")),
+        FunctionDef("steps", sql="sequence(1, greatest(1, [n] % 4))", args=("n",)),
         FunctionDef("days", sql="SELECT explode(sequence(date'[first]', date'[last]', interval [step] day)) AS day", args=("first", "last", "step"), table=True),
         FunctionDef("day_span", call=lambda s, first, last: s.sql("SELECT explode(sequence(CAST(:a AS date), CAST(:b AS date))) AS day", args={"a": first, "b": last}), table=True),
     )
@@ -464,6 +468,9 @@ def json_filter(q: Query) -> DataFrame:
     return q.select("events", ["event_id", Col("props", "k", path="k", kind="number")], tree)
 
 
+VISITS = "SELECT event_id, value, event_type, ((user_id * 37) % 360) / 2.0 - 90 AS lon, ((user_id * 11) % 360) / 2.0 - 90 + value / 100 AS lat FROM events"
+
+
 def query_vector() -> list[float]:
     """A fixed direction of 64 dimensions."""
     return [((k * 37) % 64 - 32) / 32.0 for k in range(64)]
@@ -507,6 +514,48 @@ def vec_filter_then_topk(q: Query) -> DataFrame:
     return nearest(q, "L2", {"label": {"in": [1, 3]}})
 
 
+@register(vector_sql("L2").replace(VECTOR_SQL, "[" + ", ".join(repr(((11 * k) % 64 - 32) / 32.0) for k in range(64)) + "]"))
+def vec_semantic_topk(q: Query) -> DataFrame:
+    df = q.select("embeddings", ["vec_id", Col("_distance", "distance")], semantic={"name": "embedding", "query": "like events", "limit": 20})
+    return df.withColumn("distance", F.round("distance", 6))
+
+
+@register(f"SELECT count(*) AS _rows_count, count(DISTINCT label) AS label_count, max(vec_id) AS vec_id_max FROM ({vector_sql('L2')}) k JOIN embeddings USING (vec_id)")
+def vec_aggregate(q: Query) -> DataFrame:
+    similar = {"name": "embedding", "vector": query_vector(), "distance": "L2", "limit": 20}
+    return q.aggregate("embeddings", [Agg("_rows_count"), Agg("label", "count"), Agg("vec_id", "max")], similarity=similar)
+
+
+@register("SELECT p_partkey FROM part WHERE list_has_all(string_split(p_type, ' '), [(SELECT min(string_split(p_type, ' ')[1]) FROM part)])")
+def filter_list(q: Query) -> DataFrame:
+    word = q.base(q.catalog.object("shaped_parts")).agg(F.min(F.col("words")[0])).first()[0]
+    return q.select("shaped_parts", ["p_partkey"], {"words": {"contains": [word], "intersects": [word, "none"]}})
+
+
+@register("SELECT p_partkey, p_size AS size, p_brand AS brand FROM part WHERE p_size > 25 AND p_brand LIKE '%3'")
+def filter_struct(q: Query) -> DataFrame:
+    spec = Col("spec", struct=(("p_size", "size"), ("kind", "kind", (("p_brand", "brand"),))))
+    df = q.select("shaped_parts", ["p_partkey", spec], {"spec": {"p_size": {"gt": 25}, "kind": {"p_brand": {"like": "%3"}}}})
+    return df.select("p_partkey", F.col("spec.size").alias("size"), F.col("spec.kind.brand").alias("brand"))
+
+
+@register("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE event_type = 'click'")
+def json_struct(q: Query) -> DataFrame:
+    df = q.select("events", ["event_id", Col("props", json_struct="k bigint")], {"event_type": {"eq": "click"}})
+    return df.select("event_id", F.col("props.k").alias("k"))
+
+
+@register("SELECT p_partkey, unnest(range(1, greatest(1, p_size % 4) + 1))::INT AS step FROM part")
+def fn_lateral(q: Query) -> DataFrame:
+    return q.lateral(q.base(q.catalog.object("part")), "steps", "step", n="$p_size").select("p_partkey", "step")
+
+
+@register(f"SELECT event_type, min(lon) AS x1, min(lat) AS y1, max(lon) AS x2, max(lat) AS y2 FROM ({VISITS}) GROUP BY event_type")
+def geo_extent(q: Query) -> DataFrame:
+    spots = q.base(q.catalog.object("visits")).select("event_type", geo.point("lon", "lat").alias("spot"))
+    return spatial.extent(spots, "spot", ["event_type"])
+
+
 @register("SELECT p_partkey FROM part WHERE p_size - 5 <= 20 AND 20 < p_size + 5 AND p_size - 5 < 30 AND 24 < p_size + 5 AND p_size - 5 >= 12")
 def range_filters(q: Query) -> DataFrame:
     return q.select("sized_parts", ["p_partkey"], {"size_range": {"contains": 20, "intersects": "[24,30)", "lower": {"gte": 12}}})
@@ -528,7 +577,6 @@ def soft_delete(q: Query) -> DataFrame:
 
 
 ZONES = "SELECT n_nationkey, n_nationkey * 7.0 - 90 AS x1, n_nationkey * 7.0 - 85 AS x2, n_nationkey * 3.0 - 90 AS y1, n_nationkey * 3.0 - 86 AS y2 FROM nation"
-VISITS = "SELECT event_id, value, event_type, ((user_id * 37) % 360) / 2.0 - 90 AS lon, ((user_id * 11) % 360) / 2.0 - 90 + value / 100 AS lat FROM events"
 
 
 @register(f"SELECT event_id, n_nationkey FROM ({VISITS}) v JOIN ({ZONES}) z ON lon BETWEEN x1 AND x2 AND lat BETWEEN y1 AND y2")

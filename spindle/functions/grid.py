@@ -91,3 +91,16 @@ def geometry_cells(geometry: Column, resolution: int, metres: float = 0.0) -> Co
         return pd.Series(out, dtype=object)
 
     return run(geometry)
+
+
+def cell_polygon(cell: Column, resolution: int) -> Column:
+    """WKB outline of a cell."""
+    half = cell_degrees(resolution) / 2
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        turn = ((-half, -half), (half, -half), (half, half), (-half, half), (-half, -half))
+        return pd.Series([geo.encode(geo.POLYGON, [[(a + i, b + j) for i, j in turn]]) for a, b in zip(x, y, strict=True)], dtype=object)
+
+    centre = cell_centre(cell, resolution)
+    return run(centre["lon"], centre["lat"])

@@ -113,6 +113,7 @@ class Catalog:
         self.objects: dict[str, DataObject] = {}
         self.functions: dict[str, FunctionDef] = {}
         self.permissions: dict[str, list[Permission]] = {}
+        self.embedder: Callable[[str], list[float]] | None = None  # text to vector, for semantic search
 
     def add(self, *objects: DataObject) -> Catalog:
         for o in objects:

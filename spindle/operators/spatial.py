@@ -63,3 +63,10 @@ def distribution(numerator: DataFrame, denominator: DataFrame, key: str, value:
     total = Window.partitionBy(key, *by)
     shares = denominator.withColumn("ratio", F.try_divide(F.col(weight), F.sum(weight).over(total)))
     return numerator.join(shares, key, "left").withColumn("spread", F.col(value) * F.col("ratio"))
+
+
+def extent(df: DataFrame, geometry: str, keys: list[str] | None = None) -> DataFrame:
+    """Bounding box of all geometries of a group, from the boxes of the single ones."""
+    boxed = df.withColumn("_box", grid.bounds(F.col(geometry)))
+    ends = [F.min("_box.x1").alias("x1"), F.min("_box.y1").alias("y1"), F.max("_box.x2").alias("x2"), F.max("_box.y2").alias("y2")]
+    return boxed.groupBy(*(keys or [])).agg(*ends)

@@ -37,7 +37,7 @@ def comparison(col: Column, kind: T.DataType, op: str, value: object) -> Column:
     """One operator on one column."""
     if op == "is_null":
         return col.isNull() if value else col.isNotNull()
-    if op in JSON_OPS:
+    if op in JSON_OPS and isinstance(kind, T.StringType):
         return JSON_OPS[op](col, value)
     if op == "path":  # {"path": {"k": {"kind": "number", "gt": 5}}}
         parts = [

@@ -197,9 +197,18 @@ class Query:
     # selections ---------------------------------------------------------------------------------------------------
 
     def select(self, name: str, fields: list, filter: dict | None = None, order_by=(), limit: int | None = None, offset: int = 0,  # noqa: A002, ANN001
-               distinct_on=(), args: dict | None = None, similarity: dict | None = None) -> DataFrame:  # fmt: skip  # noqa: ANN001
-        """A list of rows.  With inner relations the limit counts the rows that are left after them."""
+               distinct_on=(), args: dict | None = None, similarity: dict | None = None, semantic: dict | None = None) -> DataFrame:  # fmt: skip  # noqa: ANN001
+        """A list of rows.  With inner relations the limit counts the rows that are left after them.
+
+        ``similarity`` (a vector) or ``semantic`` (a text, embedded while planning) keeps the nearest rows of those that the filter leaves.
+        """
         obj = self.catalog.object(name)
+        if semantic:
+            if similarity:
+                raise ValueError("give similarity or semantic, not both")
+            if self.catalog.embedder is None:
+                raise ValueError("the catalog has no embedder")
+            similarity = {**semantic, "vector": self.catalog.embedder(semantic["query"])}
         late = any(isinstance(f, Rel) and (f.inner or f.unnest) for f in fields)
         if similarity:
             df = self.base(obj, filter, args=args)
@@ -446,6 +455,11 @@ class Query:
             text = text.replace(f"[{a}]", "NULL" if v is None else (v[1:] if isinstance(v, str) and v.startswith("$") else literal(v)))
         return text
 
+    def lateral(self, df: DataFrame, name: str, alias: str, outer: bool = True, **columns) -> DataFrame:  # noqa: ANN003
+        """``df`` with the members of an array-valued function of each row, one row for each (rows without any stay, if ``outer``)."""
+        made = self.call(name, **columns)
+        return df.select("*", (F.explode_outer if outer else F.explode)(made).alias(alias))
+
     def table_function(self, name: str, **values) -> DataFrame:  # noqa: ANN003
         """Rows of a table function."""
         fn = self.catalog.functions[name]
