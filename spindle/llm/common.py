@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +69,16 @@ def empty_if_null(text: Column) -> Column:
 
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds ``_tag``, a hash of id and text: with the id it names a row; only rows repeated as a whole share it."""
-    return docs.withColumn("_tag", F.xxhash64(F.col(id_col), F.col(text_col)))
+    return docs.withColumn("_tag", tag(id_col, text_col))
+
+
+def tag(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def boxed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(_row, _o, _tag, text)``: whole rows as a struct beside their keys, so that no column of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), order_id(id_col).alias("_o"), tag(id_col, text_col).alias("_tag"), F.col(text_col).alias("text"))
 
 
 def without_rows(docs: DataFrame, rejected: DataFrame, keep_listed: bool = False) -> DataFrame:
@@ -73,10 +86,28 @@ def without_rows(docs: DataFrame, rejected: DataFrame, keep_listed: bool = False
 
     ``rejected`` should be a table on disk: its size is then known when the join is planned, and a small one costs no shuffle.
     """
-    listed = rejected.select(F.col("doc_id").alias("_id"), F.col("_tag").alias("_tag2")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_tag2"))
-    columns = docs.columns
-    return row_key(docs).join(listed, same, "left_semi" if keep_listed else "left_anti").select(*columns)
+    listed = rejected.select(order_id().alias("_o2"), F.col("_tag").alias("_t2")).distinct()
+    same = (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2"))
+    return boxed(docs).drop("text").join(listed, same, "left_semi" if keep_listed else "left_anti").select("_row.*")
+
+
+def packed(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """``rows`` with ``z``, the compressed UTF-8 of the text, instead of it: for joins that move all texts.  Null stays null."""
+    kept = [c for c in rows.columns if c != text_col]
+    moved = rows.select(*kept, text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(kept))
+            small = [zlib.compress(t.as_py().encode("utf-8", "surrogatepass"), 1) if t.is_valid else None for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(small, pa.binary())], names=[*kept, "z"])
+
+    schema = moved.drop(text_col).schema.add("z", "binary")
+    return moved.mapInArrow(run, schema)
+
+
+def unpacked(z: bytes | None) -> str | None:
+    return None if z is None else zlib.decompress(z).decode("utf-8", "surrogatepass")
 
 
 #: Stands for a null id in orders and join keys: after all others.

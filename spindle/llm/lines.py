@@ -23,15 +23,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import cut, hot_join, order_id, partitions, row_key
+from spindle.llm.common import boxed, cut, hot_join, order_id, packed, partitions, row_key, unpacked
 from spindle.llm.shingles import UNPLACE, WordHashes, hashed, mix, powers
 
 MIN_WORDS = 10  #: words from which on a line may differ in one of them
-SEEN_LINES = 200_000
+BATCH_DOCS = 200  #: documents whose words are hashed together
 
 
-def line_name(h: np.ndarray) -> int:
-    return int(mix(np.array([(h * powers(h.size)).sum(dtype=np.uint64) + np.uint64(h.size)], dtype=np.uint64)).view(np.int64)[0])
+def pieces(part: np.ndarray, back: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of word runs ``start`` to ``stop`` from the running sums over all words, whatever stands before them."""
+    return (part[stop] - part[start]) * back[start]
+
+
+def batch_lines(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of lines of ``sizes`` words each, and four half keys of each line (0 where it has none).
+
+    A line may meet lines of as many words, of one more and of one less: with ``least`` words in the shorter of two, one edit leaves the first
+    ``least // 2`` words or the other ones at the end as they were.
+    """
+    part = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * powers(h.size), dtype=np.uint64)])
+    back = powers(h.size + 1, UNPLACE)
+    stop = np.cumsum(sizes)
+    start = stop - sizes
+    names = mix(pieces(part, back, start, stop) + sizes.astype(np.uint64)).view(np.int64)
+    keys = np.zeros((sizes.size, 4), dtype=np.int64)
+    for k, least in enumerate((sizes, sizes - 1)):
+        p, ok = least // 2, least >= MIN_WORDS
+        for side, (a, b) in enumerate(((start, start + p), (stop - (least - p), stop))):
+            found = mix(pieces(part, back, a[ok], b[ok]) + (2 * least[ok] + side).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            keys[ok, 2 * k + side] = found.view(np.int64)
+    return names, keys
 
 
 def variants(h: np.ndarray) -> np.ndarray:
@@ -43,17 +64,6 @@ def variants(h: np.ndarray) -> np.ndarray:
     return mix(np.concatenate([part[-1:], short]) + sizes).view(np.int64)
 
 
-def halves(h: np.ndarray) -> list[int]:
-    """Keys of the halves that a line of this length, or of one word more or less, leaves alone when the edit is in the other half."""
-    keys = []
-    for least in (h.size, h.size - 1):
-        if least >= MIN_WORDS:
-            p = least // 2
-            for side, piece in enumerate((h[:p], h[h.size - (least - p) :])):
-                keys.append((piece * powers(piece.size)).sum(dtype=np.uint64) + np.uint64(2 * least + side))
-    return list(mix(np.array(keys, dtype=np.uint64)).view(np.int64)) if keys else []
-
-
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     """Whether at most one insertion, deletion or substitution of a word turns ``a`` into ``b``."""
     if abs(len(a) - len(b)) > 1:
@@ -68,63 +78,59 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``(_o, _tag, line_no, line, n_words)`` of each line that has words."""
-    out = pa.schema([("_o", pa.int64()), ("_tag", pa.int64()), ("line_no", pa.int32()), ("line", pa.int64()), ("n_words", pa.int32())])
+    """``(_o, _tag, line_no, line, halves)`` of each line that has words."""
+    halves = pa.list_(pa.int64())
+    out = pa.schema([("_o", pa.int64()), ("_tag", pa.int64()), ("line_no", pa.int32()), ("line", pa.int64()), ("halves", halves)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
-            rows = []
-            for o, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for k, line in enumerate((text.as_py() or "").encode().split(b"\n")):
-                    found = line.split()
-                    if found:
-                        rows.append((o, tag, k, line_name(hashed(found, cache)), len(found)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)], schema=out)
-
-    return keyed(docs).select("_o", "_tag", "text").mapInArrow(run, "_o long, _tag long, line_no int, line long, n_words int")
-
-
-def half_keys(docs: DataFrame) -> DataFrame:
-    """``(bucket, line)`` for the halves of all lines that may have a duplicate that isn't equal."""
-    out = pa.schema([("bucket", pa.int64()), ("line", pa.int64())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordHashes(), set()
-        for batch in batches:
-            keys, names = [], []
-            for text in batch.column(0):
-                for line in (text.as_py() or "").encode().split(b"\n"):
-                    found = line.split()
-                    if len(found) < MIN_WORDS:
-                        continue
-                    h = hashed(found, cache)
-                    name = line_name(h)
-                    if name in seen:
-                        continue
-                    if len(seen) >= SEEN_LINES:
-                        seen.clear()
-                    seen.add(name)
-                    own = halves(h)
-                    keys += own
-                    names += [name] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64())], schema=out)
-
-    return docs.select("text").mapInArrow(run, "bucket long, line long")
-
-
-def suspects(docs: DataFrame, first: DataFrame) -> DataFrame:
+        for big in batches:
+            for first in range(0, big.num_rows, BATCH_DOCS):
+                batch = big.slice(first, BATCH_DOCS)
+                found: list[bytes] = []
+                o, tag, number, sizes = [], [], [], []
+                for own, own_tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    for k, line in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")):
+                        words = line.split()
+                        if words:
+                            found += words
+                            o.append(own)
+                            tag.append(own_tag)
+                            number.append(k)
+                            sizes.append(len(words))
+                if not sizes:
+                    continue
+                names, keys = batch_lines(hashed(found, cache), np.array(sizes, dtype=np.int64))
+                real = keys != 0
+                ends = np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[real]))
+                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(tag, pa.int64()), pa.array(number, pa.int32()), pa.array(names), lists], schema=out)
+
+    return keyed(docs).select("_o", "_tag", "text").mapInArrow(run, "_o long, _tag long, line_no int, line long, halves array<long>")
+
+
+def suspects(docs: DataFrame, seen: DataFrame, first: DataFrame) -> DataFrame:
     """``(line, _fo, _ft, _fn, text)`` of the lines that share a half with another one, with their first place."""
     own = Window.partitionBy("bucket")
-    keys = half_keys(docs).repartition(partitions(docs.sparkSession), "bucket")
+    keys = seen.select("line", F.explode("halves").alias("bucket")).repartition(partitions(docs.sparkSession), "bucket")
     keys = keys.withColumn("lo", F.min("line").over(own)).withColumn("hi", F.max("line").over(own)).where("lo < hi")
     names = keys.select("line").distinct()
     places = first.join(names, "line").groupBy("_fo", "_ft").agg(F.collect_list(F.struct("_fn", "line")).alias("_lines"))  # within one document
     places = cut(places, "places")
-    rows = keyed(docs).select("_o", "_tag", "text").join(places, (F.col("_o") == F.col("_fo")) & (F.col("_tag") == F.col("_ft")))
-    rows = rows.withColumn("_parts", F.split("text", "\n", -1)).select("_fo", "_ft", F.explode("_lines").alias("l"), "_parts")
-    return rows.select(F.col("l.line").alias("line"), "_fo", "_ft", F.col("l._fn").alias("_fn"), F.col("_parts")[F.col("l._fn")].alias("text"))
+    rows = packed(keyed(docs).select("_o", "_tag", "text"))
+    rows = rows.join(places.hint("merge"), (F.col("_o") == F.col("_fo")) & (F.col("_tag") == F.col("_ft")))  # neither side has a bound
+    names = ["line", "_fo", "_ft", "_fn", "text"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for fo, ft, listed, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = unpacked(z).split("\n")
+                out += [(x["line"], fo, ft, x["_fn"], parts[x["_fn"]]) for x in listed]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=names)
+
+    return rows.select("_fo", "_ft", "_lines", "z").mapInArrow(run, "line long, _fo long, _ft long, _fn int, text string")
 
 
 def neighbours(lines: DataFrame) -> DataFrame:
@@ -156,9 +162,9 @@ def neighbours(lines: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def replaced(docs: DataFrame, first: DataFrame) -> DataFrame:
+def replaced(docs: DataFrame, seen: DataFrame, first: DataFrame) -> DataFrame:
     """The lines that have an earlier one within the bound (and differ from it)."""
-    lines = cut(suspects(docs, first), "suspects")
+    lines = cut(suspects(docs, seen, first), "suspects")
     pairs = cut(neighbours(lines), "pairs")
     side = lambda s: lines.select(F.col("line").alias(s), F.struct("_fo", "_ft", "_fn").alias(f"f_{s}"), F.col("text").alias(f"text_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -182,10 +188,10 @@ def removals(docs: DataFrame) -> DataFrame:
     seen = cut(occurrences(docs), "lines")
     first = seen.groupBy("line").agg(F.min(F.struct("_o", "_tag", "line_no")).alias("f"), F.count(F.lit(1)).alias("n"))
     first = cut(first.select("line", "n", F.col("f._o").alias("_fo"), F.col("f._tag").alias("_ft"), F.col("f.line_no").alias("_fn")), "first")
-    late = replaced(docs, first).withColumn("late", F.lit(True))
+    late = replaced(docs, seen, first).withColumn("late", F.lit(True))
     fate = first.join(late, "line", "left").where("n > 1 or late")
     fate = cut(fate.withColumn("late", F.coalesce("late", F.lit(False))), "fate")
-    rows = hot_join(seen, fate, "line", "n")
+    rows = hot_join(seen.drop("halves"), fate, "line", "n")
     earliest = (F.col("_o") == F.col("_fo")) & (F.col("_tag") == F.col("_ft")) & (F.col("line_no") == F.col("_fn"))
     gone = rows.where(F.col("late") | ~earliest)
     return gone.groupBy("_o", "_tag").agg(F.collect_set("line_no").alias("_gone"))  # within one document
@@ -195,13 +201,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with the lines that go taken out of the text, and ``n_lines``, ``n_removed``."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     gone = cut(removals(narrow), "removals").select(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"), "_gone")
-    rows = docs.withColumn("_o", order_id(id_col)).withColumn("_tag", F.xxhash64(F.col(id_col), F.col(text_col)))
-    rows = rows.join(gone, (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    left = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.filter(parts, lambda x, k: ~F.array_contains(F.col("_gone"), k)), "\n")
-    )
     others = [c for c in docs.columns if c != text_col]
-    out = rows.select(*[F.col(c) for c in others], left.alias(text_col), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
-                      F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    rows = packed(boxed(docs, id_col, text_col).withColumn("_row", F.struct(*[F.col("_row")[c].alias(c) for c in others])))
+    rows = rows.join(gone.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")), "left")  # neither side has a bound
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, n_lines, n_removed = [], [], []
+            for z, lost in zip(batch.column(1), batch.column(2), strict=True):
+                text, gone_lines = unpacked(z.as_py()), set(lost.as_py() or ())
+                parts = [] if text is None else text.split("\n")
+                texts.append("\n".join(p for k, p in enumerate(parts) if k not in gone_lines) if gone_lines else text)
+                n_lines.append(len(parts))
+                n_removed.append(len(gone_lines))
+            made = [pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["_row", "_text", "n_lines", "n_removed"])
+
+    moved = rows.select("_row", "z", "_gone")
+    out = moved.mapInArrow(run, moved.drop("z", "_gone").schema.add("_text", "string").add("n_lines", "long").add("n_removed", "long"))
+    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns], "n_lines", "n_removed")

@@ -11,11 +11,11 @@ PLACE, MIX1, MIX2 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64
 UNPLACE = pow(PLACE, -1, 1 << 64)  # its inverse
 
 
-def powers(n: int) -> np.ndarray:
-    """The first ``n`` powers of ``PLACE`` modulo 2**64."""
+def powers(n: int, base: int = PLACE) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo 2**64."""
     out = np.ones(n, dtype=np.uint64)
     if n > 1:
-        out[1:] = np.uint64(PLACE)
+        out[1:] = np.uint64(base)
         np.multiply.accumulate(out, out=out)
     return out
 
