@@ -113,7 +113,7 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, keys: lis
         none = F.lit(None).cast("string")
         return docs.select(*keys, F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"), none.alias("text_lang"))
     column = lambda name: F.col(name).cast("string") if name else F.lit(None).cast("string")
-    narrow = docs.select(*keys, column(declared).alias("_declared"), column(host).alias("_host"), column(suffix).alias("_suffix"), F.col(text_col).alias("_text"))
+    narrow = docs.select(*keys, column(declared).alias("_declared"), F.coalesce(column(host), F.lit("")).alias("_host"), column(suffix).alias("_suffix"), F.col(text_col).alias("_text"))
     scored = cut(text_scores(narrow, table, "_text"), "language")
     best = lambda post: F.array_position(post, F.array_max(post)).cast("int")
     known = scored.where("text_post is not null")
@@ -137,10 +137,8 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, keys: lis
     by_host = known.groupBy("_host").agg(
         F.count(F.lit(1)).alias("_rows"), F.max("_suffix").alias("_suffix"), F.array(*[F.sum(F.col("text_post")[k]) for k in range(width)]).alias("_sums")
     )
-    hosts = cut(by_host.join(suffix_prior, "_suffix", "left").drop("_suffix"), "hosts")
-
-    rows = scored.withColumn("_host", F.coalesce("_host", F.lit("")))
-    joined = hot_join(rows, hosts.withColumn("_host", F.coalesce("_host", F.lit(""))), "_host", "_rows", "left")
+    hosts = cut(by_host.where("_host <> ''").join(suffix_prior, "_suffix", "left").drop("_suffix"), "hosts")
+    joined = hot_join(scored, hosts, "_host", "_rows", "left")
     post = F.col("text_post")
     wide = [F.coalesce(F.col("_wide")[k], F.lit(base[k])) for k in range(width)]
     others = [F.coalesce(F.col("_sums")[k], F.lit(0.0)) - F.coalesce(post[k], F.lit(0.0)) for k in range(width)]

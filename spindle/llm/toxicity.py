@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     width = len(of)
 
     @F.udf(VectorUDT())
-    def vector(found: list[int]) -> SparseVector:
+    def vector(found):  # noqa: ANN001, ANN202
         at = sorted(of[t] for t in found if t in of)
         return SparseVector(width, at, [1.0] * len(at))
 
