@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.llm import jaccard, language, lines, mixing, sentencepiece_lattice
-from spindle.llm.common import cut, order_id, partitions, row_key, table, without_rows
+from spindle.llm.common import boxed, cut, order_id, partitions, row_key, table, without_rows
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mixture with capped source weights, in the order of their slots."""
     chosen = mixing.mix(row_key(docs), extra=["_tag"]).where("in_mix")
     chosen = cut(chosen.select(order_id().alias("_o2"), F.col("_tag").alias("_t2"), "slot").dropDuplicates(["_o2", "_t2"]), "mixture")
-    rows = row_key(docs).withColumn("_o", order_id())
-    rows = rows.join(chosen, (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")))
-    return rows.repartitionByRange(partitions(spark), "slot", "_o").sortWithinPartitions("slot", "_o").select(*docs.columns)
+    rows = boxed(docs).drop("text").join(chosen.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")))  # neither side has a bound
+    return rows.repartitionByRange(partitions(spark), "slot", "_o").sortWithinPartitions("slot", "_o").select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
