@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     root = tempfile.mkdtemp(prefix="spark-test-")
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[3]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
