@@ -21,16 +21,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import cut, hot_join, partitions, row_key
+from spindle.llm.common import cut, hot_join, packed, partitions, row_key, unpacked
 from spindle.llm.components import components
 from spindle.llm.shingles import WordHashes, mix, shingle_set
 
 WORDS, PERCENT = 5, 80  #: words of a shingle and least similarity, where the caller states none
 BAND = 1.4  #: upper over lower set size of a band
 SEEN_NODES = 200_000  #: nodes that a task remembers in order not to emit a set twice
+SKETCH_WORDS = 32  #: 64-bit words of the whole-set sketch that candidates are compared by
+ROUNDS = 3  #: how often the open buckets are compared with one node each before the rest is compared in full
 
 
 def band_edges(limit: int = 1 << 40) -> np.ndarray:
@@ -76,19 +78,27 @@ def sketch_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys) if keys else s[:0]
 
 
+def whole_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity sketch of a whole set, of one width for all sets."""
+    out = np.zeros(SKETCH_WORDS, dtype=np.uint64)
+    np.bitwise_xor.at(out, (s & np.uint64(SKETCH_WORDS - 1)).astype(np.int64), np.uint64(1) << (s >> np.uint64(58)))
+    return out.view(np.int64)
+
+
 def nodes(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, _tag, n_shingles, node)`` of every row; an empty set has a null node."""
-    out = pa.schema([("doc_id", pa.int64()), ("_tag", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+    """``(doc_id, _tag, n_shingles, node, sketch)`` of every row; an empty set has a null node."""
+    out = pa.schema([("doc_id", pa.int64()), ("_tag", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             sets = [shingle_set(t.as_py(), n, cache) for t in batch.column(2)]
             names = [node_of(s) if s.size else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.size for s in sets], pa.int64()), pa.array(names, pa.int64())], schema=out)
+            sizes, sketches = pa.array([s.size for s in sets], pa.int64()), pa.array([whole_sketch(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, pa.array(names, pa.int64()), sketches], schema=out)
 
     rows = row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "_tag", "text")
-    return rows.mapInArrow(run, "doc_id long, _tag long, n_shingles long, node long")
+    return rows.mapInArrow(run, "doc_id long, _tag long, n_shingles long, node long, sketch array<long>")
 
 
 def buckets(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
@@ -118,8 +128,6 @@ def buckets(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
     """The rows of buckets that hold more than one node."""
-    from pyspark.sql import Window
-
     spread = keys.repartition(partitions(keys.sparkSession), "bucket")
     own = Window.partitionBy("bucket")
     spread = spread.withColumn("lo", F.min("node").over(own)).withColumn("hi", F.max("node").over(own))
@@ -131,11 +139,12 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     holder = rows.join(wanted, "node").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("i"), "_tag", "doc_id")).alias("r"))
     holder = cut(holder.select("node", F.col("r.doc_id").alias("_id"), F.col("r._tag").alias("_tag2")), "holders")
-    texts = row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    texts = packed(row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tag") == F.col("_tag2"))
-    texts = cut(texts.join(holder, same).select("node", "text").dropDuplicates(["node"]), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    texts = texts.join(holder.hint("merge"), same).select("node", "z").dropDuplicates(["node"])  # neither side has a bound
+    texts = cut(texts, "texts")
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("z").alias("z_b")), "b")
+    both = both.join(texts.select(F.col("node").alias("a"), F.col("z").alias("z_a")), "a")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +154,7 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent
             if name not in kept:
                 if len(kept) >= 64:
                     kept.popitem(last=False)
-                kept[name] = shingle_set(value.as_py(), n, cache)
+                kept[name] = shingle_set(unpacked(value.as_py()), n, cache)
             return kept[name]
 
         for batch in batches:
@@ -158,47 +167,70 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, n: int, percent
                     good.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], schema=out)
 
-    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    return cut(both.select("a", "b", "z_a", "z_b").mapInArrow(run, "a long, b long"), "links")
 
 
 def ordered(a, b) -> list:  # noqa: ANN001
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def link_components(shared: DataFrame, check) -> DataFrame:  # noqa: ANN001
-    """``(node, root)`` of the nodes in shared buckets; ``check`` verifies pairs ``(a, b)``."""
-    tried = cut(shared.where("node <> lo").select(*ordered("node", "lo")).distinct(), "pairs")
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether the Hamming distance of two sketches leaves room for a link: it is at most the symmetric difference, which is
+    (size + size) (1 - t) / (1 + t) at most."""
+    flips = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return flips * (100 + percent) <= (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) * (100 - percent)
+
+
+def link_components(shared: DataFrame, rows: DataFrame, percent: int, check) -> DataFrame:  # noqa: ANN001
+    """``(node, root)`` of the linked nodes in shared buckets; ``check`` verifies pairs ``(a, b)``.
+
+    A round compares the nodes of each bucket with one of them.  Rounds go on while they find links and buckets with many nodes in different
+    components are left; then all pairs of a bucket that are still in different components and that the sketches don't rule out are verified.
+    """
+    met = shared.select("node").distinct()
+    facts = cut(rows.join(met, "node", "left_semi").select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "facts")
+    facts_of = lambda name: facts.select(F.col("node").alias(name), F.struct("n_shingles", "sketch").alias(f"f_{name}"))
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(facts_of("a"), "a").join(facts_of("b"), "b")
+        return cut(both.where(may_link("f_a", "f_b", percent)).select("a", "b"), "pairs")
+
+    tried = sifted(shared.where("node <> lo").select(*ordered("node", "lo")))
     links = check(tried)
-    for final in (False, True):
-        roots = components(links)
-        placed = shared.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = cut(placed.distinct(), "placed")
+    n_links = links.count()
+    for round_no in range(1, ROUNDS + 1):
+        roots = cut(components(links), "roots")
+        placed = cut(shared.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).distinct(), "placed")
         sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("any"))
-        main = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root", "any")).alias("m")).where("roots > 1")
-        main = main.select("bucket", F.col("m.root").alias("main"), F.col("m.any").alias("centre"))
-        open_rows = cut(placed.join(main, "bucket"), "open")
-        rest = open_rows.where("root <> main")
-        if final:
-            other = open_rows.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"))
-            met = rest.join(other, "bucket").where((F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("node") < F.col("node2"))))
-            new = met.select(*ordered("node", "node2"))
-        else:
-            new = rest.select(*ordered("node", "centre"))
-        new = cut(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            if final:
-                return roots
-            continue
+        main = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all"), F.max(F.struct("n", "root", "any")).alias("m"))
+        main = main.where("roots > 1").select("bucket", "all", F.col("m.n").alias("n"), F.col("m.root").alias("main"), F.col("m.any").alias("centre"))
+        main = cut(main, "main")
+        left = main.agg(F.sum(F.col("all") * (F.col("all") - F.col("n"))).alias("pairs"), F.sum("all").alias("rows")).first()
+        if not left["rows"]:
+            return roots
+        if round_no == ROUNDS or left["pairs"] <= 8 * left["rows"] or not n_links:
+            break
+        rest = placed.join(main, "bucket").where("root <> main").select(*ordered("node", "centre"))
+        new = sifted(rest.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(new)
-        links = links.unionByName(check(new))
-    return components(links)
+        found = check(new)
+        n_links = found.count()
+        links = links.unionByName(found)
+    open_rows = cut(placed.join(main.select("bucket", "main"), "bucket").join(facts_of("node"), "node"), "open")
+    rest = open_rows.where("root <> main")
+    other = open_rows.select("bucket", F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("f_node").alias("f_node2"))
+    apart = (F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("node") < F.col("node2")))
+    new = rest.join(other, (rest["bucket"] == other["bucket"]) & apart & may_link("f_node", "f_node2", percent)).select(*ordered("node", "node2"))
+    new = cut(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = check(new)
+    return components(links.unionByName(found)) if not found.isEmpty() else roots
 
 
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, _tag, n_shingles, component_id)`` for every row; ``_tag`` tells apart texts with one id."""
     rows = cut(nodes(docs, n, id_col, text_col), "nodes")
     shared = cut(shared_buckets(buckets(docs, n, percent, text_col)), "buckets")
-    roots = link_components(shared, lambda pairs: verified(pairs, rows, docs, n, percent, id_col, text_col))
+    roots = link_components(shared, rows, percent, lambda pairs: verified(pairs, rows, docs, n, percent, id_col, text_col))
     by_node = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size"))
     by_node = by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = by_node.groupBy("root").agg(F.min("first").alias("component_id"))
