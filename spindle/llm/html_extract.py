@@ -18,6 +18,7 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 from html import unescape
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from spindle.llm.common import cut, scratch_root
 
 SAMPLE_PAGES = 400  #: pages that the trees learn from, at most
 TREES, DEPTH = 20, 5
-WORD_CAP = 1000.0  #: counts are squashed near here; no text is cut
+TOGETHER = 200  #: pages whose nodes are judged in one go
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S
@@ -59,6 +60,7 @@ AGAINST = {"ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsor
            "social", "comment", "comments", "reply", "replies", "disqus", "discussion", "tags", "pagination", "pager", "search", "form", "contentinfo",
            "complementary", "toolbar", "skip"}
 FOR = {"article", "articlebody", "content", "main", "post", "entry", "story", "body", "text", "prose", "page"}
+LISTS = {"ul", "ol", "li", "dl"}
 MAIN_TAGS = {"article", "main"}
 SIDE_TAGS = {"nav", "footer", "aside", "header", "form", "menu", "button", "label", "legend", "fieldset", "dialog", "head", "option", "search"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
@@ -158,39 +160,42 @@ FEATURE_NAMES = [
 ]
 
 
-def features(page: Page) -> np.ndarray:
-    n = len(page.tag)
-    parent = page.parent
-    chars, links, stops = np.array([len(t) for t in page.text], float), np.array(page.link, float), np.array([t.count(".") + t.count(",") for t in page.text], float)
-    tags, blocks = np.array(page.tags, float) + 1, np.array([float(t == "#text") for t in page.tag])
-    words = np.array([t.count(" ") + 1.0 if t else 0.0 for t in page.text])
+def features(page: Page) -> list[tuple[float, ...]]:
+    """One row for each node; the root's is empty."""
+    n, parent, tag, names = len(page.tag), page.parent, page.tag, page.names
+    chars, links = [len(t) for t in page.text], list(page.link)
+    stops, words = [t.count(".") + t.count(",") for t in page.text], [t.count(" ") + 1 if t else 0 for t in page.text]
+    tags, blocks = [k + 1 for k in page.tags], [int(t == "#text") for t in tag]
     for k in range(n - 1, 0, -1):
         p = parent[k]
         for column in (chars, links, stops, tags, blocks, words):
             column[p] += column[k]
-    kids, kid_chars = np.zeros(n), np.zeros(n)
+    kids, kid_chars = [0] * n, [0] * n
     alike: dict[tuple[int, str], int] = {}
     for k in range(1, n):
-        kids[parent[k]] += 1
-        kid_chars[parent[k]] += chars[k]
-        alike[parent[k], page.tag[k]] = alike.get((parent[k], page.tag[k]), 0) + 1
-    out = np.zeros((n, len(FEATURE_NAMES)))
-    up = np.zeros((n, 4))
-    squash = lambda x: np.log1p(min(x, WORD_CAP * 1000))
-    seen = 0.0
-    total = max(1.0, chars[0])
+        p = parent[k]
+        kids[p] += 1
+        kid_chars[p] += chars[k]
+        alike[p, tag[k]] = alike.get((p, tag[k]), 0) + 1
+    out: list[tuple[float, ...]] = [(0.0,) * len(FEATURE_NAMES)]
+    up = [(0.0, 0.0, 0.0, 0.0)]
+    seen, total = 0, max(1, chars[0])
     for k in range(1, n):
-        p, tag, names = parent[k], page.tag[k], page.names[k]
-        own = (float(bool(names & AGAINST)), float(bool(names & FOR)), float(tag in SIDE_TAGS), float(tag in MAIN_TAGS))
-        up[k] = np.maximum(up[p], own)
-        around = max(1.0, kids[p] - 1)
-        out[k] = (
-            page.depth[k], squash(chars[k]), squash(words[k]), links[k] / max(1.0, chars[k]), squash(chars[k] / tags[k]), squash(blocks[k]), own[0], own[1],
-            up[p][0], up[p][1], float(tag in HEADINGS or page.tag[p] in HEADINGS), float(tag in ("ul", "ol", "li", "dl") or page.tag[p] == "li"),
-            float(tag == "p" or page.tag[p] == "p"), own[2], own[3], up[p][2], up[p][3], float(tag == "#text"), seen / total, squash(kids[p]),
-            squash(alike[p, tag]), squash((kid_chars[p] - chars[k]) / around), chars[k] / max(1.0, chars[p]), stops[k] / max(1.0, words[k]), chars[k] / total,
-        )
-        if tag == "#text":
+        p, t, own_names = parent[k], tag[k], names[k]
+        above, around, size = up[p], tag[p], max(1, chars[k])
+        if own_names or t in SIDE_TAGS or t in MAIN_TAGS:
+            own = (float(not AGAINST.isdisjoint(own_names)), float(not FOR.isdisjoint(own_names)), float(t in SIDE_TAGS), float(t in MAIN_TAGS))
+            up.append(tuple(map(max, above, own)))
+        else:
+            own = up[0]
+            up.append(above)
+        out.append((
+            page.depth[k], log1p(chars[k]), log1p(words[k]), links[k] / size, log1p(chars[k] / tags[k]), log1p(blocks[k]), own[0], own[1], above[0], above[1],
+            float(t in HEADINGS or around in HEADINGS), float(t in LISTS or around == "li"), float(t == "p" or around == "p"), own[2], own[3], above[2], above[3],
+            float(t == "#text"), seen / total, log1p(kids[p]), log1p(alike[p, t]), log1p((kid_chars[p] - chars[k]) / max(1, kids[p] - 1)), chars[k] / max(1, chars[p]),
+            stops[k] / max(1, words[k]), chars[k] / total,
+        ))
+        if t == "#text":
             seen += chars[k]
     return out
 
@@ -256,7 +261,7 @@ def learned_rows(pages: DataFrame) -> DataFrame:
                     keep = labels(version)
                     if keep is not None:
                         marks += keep[1:].tolist()
-                        xs += features(version)[1:].tolist()
+                        xs += features(version)[1:]
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.float64()), pa.array(xs, pa.list_(pa.float64()))], names=["label", "x"])
 
     picked = pages.select("page_id", "html").withColumn("_h", F.xxhash64("page_id"))
@@ -305,34 +310,47 @@ def fit(pages: DataFrame) -> Forest | None:
     return Forest([(w, [r.asDict() for r in nodes if r["treeID"] == k]) for k, w in enumerate(model.treeWeights)])
 
 
-def decode(page: Page, odds: np.ndarray) -> np.ndarray:
+def decode(page: Page, odds: list[float]) -> list[bool]:
     """The most likely labels of the nodes under which a kept node has kept ancestors only."""
-    n = len(page.tag)
-    weight = np.array([1.0 + np.log1p(len(t)) if t else 1.0 for t in page.text])
-    gain = odds * weight
-    best = gain.copy()
+    n, parent = len(page.tag), page.parent
+    best = [x * (1.0 + log1p(len(t))) for x, t in zip(odds, page.text, strict=True)]
     for k in range(n - 1, 0, -1):
-        if page.parent[k] >= 0:
-            best[page.parent[k]] += max(0.0, best[k])
-    keep = np.zeros(n, bool)
-    keep[0] = True
+        if best[k] > 0:
+            best[parent[k]] += best[k]
+    keep = [True] * n
     for k in range(1, n):
-        keep[k] = keep[page.parent[k]] and best[k] > 0
+        keep[k] = keep[parent[k]] and best[k] > 0
     return keep
 
 
-def main_text(html: str, forest: Forest | None) -> str:
-    page = Page(html)
-    if all(t == "#text" for t in page.tag[1:]):  # no mark-up: the text is all there is
-        return "\n".join(page.text[1:])
+def by_rule(page: Page) -> list[bool]:
+    """What the labels' own rule keeps, for want of trees."""
+    found = labels(page)
+    keep = [x > 0 for x in found] if found is not None else [not (names & AGAINST) and t not in SIDE_TAGS for names, t in zip(page.names, page.tag, strict=True)]
+    for k in range(1, len(keep)):
+        keep[k] = keep[k] and keep[page.parent[k]]
+    return keep
+
+
+def main_texts(htmls: list[str], forest: Forest | None) -> list[str]:
+    pages = [Page(h) for h in htmls]
     if forest is None:
-        found = labels(page)
-        keep = found > 0 if found is not None else ~np.array([bool(a & AGAINST) or t in SIDE_TAGS for a, t in zip(page.names, page.tag, strict=True)])
-        for k in range(1, len(keep)):
-            keep[k] &= keep[page.parent[k]]
+        kept = [by_rule(p) for p in pages]
     else:
-        keep = decode(page, forest.odds(features(page)))
-    return "\n".join(t for t, ok in zip(page.text, keep, strict=True) if ok and t)
+        odds = forest.odds(np.array([row for p in pages for row in features(p)], dtype=float).reshape(-1, len(FEATURE_NAMES))).tolist()
+        kept, at = [], 0
+        for p in pages:
+            kept.append(decode(p, odds[at : at + len(p.tag)]))
+            at += len(p.tag)
+    out = []
+    for p, keep in zip(pages, kept, strict=True):
+        bare = all(t == "#text" for t in p.tag[1:])  # no mark-up: the text is all there is
+        out.append("\n".join(t for t, ok in zip(p.text, keep, strict=True) if t and (ok or bare)))
+    return out
+
+
+def main_text(html: str, forest: Forest | None) -> str:
+    return main_texts([html], forest)[0]
 
 
 def extract(pages: DataFrame, forest: Forest | None) -> DataFrame:
@@ -343,7 +361,8 @@ def extract(pages: DataFrame, forest: Forest | None) -> DataFrame:
     def text(htmls):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series([main_text(h or "", shared.value) for h in htmls], dtype=object)
+        found = [h or "" for h in htmls]
+        return pd.Series([t for k in range(0, len(found), TOGETHER) for t in main_texts(found[k : k + TOGETHER], shared.value)], dtype=object)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text("html").alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))
