@@ -33,12 +33,13 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of ``tokens`` (positive; 0 separates the pieces) for patterns of up to ``depth`` tokens.
+    """Index of ``tokens`` (positive; 0 separates the pieces, and one is added at the end) for patterns of up to ``depth`` tokens.
 
     Suffixes are ordered by their first ``depth`` tokens at least, which is all that backward search of such patterns needs.
     """
 
     def __init__(self, tokens: np.ndarray, depth: int):
+        tokens = np.append(tokens, 0)  # what precedes the first token is then no token of a pattern
         n, symbols = tokens.size, int(tokens.max(initial=0)) + 1
         rank, width = tokens.astype(np.int64), 1
         order = np.argsort(rank, kind="stable")

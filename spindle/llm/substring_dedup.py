@@ -7,8 +7,9 @@ equal one another meet in one shard: there an FM-index is built over the content
 statistics; windows with a full match that also occurs at an earlier place are reported as intervals.  At the other places of a
 content all windows are repeats.
 
-An anchor with more than ``HOT_ANCHOR`` places (a passage in very many documents) is split by window: each of its windows is a content of its own
-and goes to the shard of its own hash, so no shard holds more than a bounded number of contents of one anchor.
+Tasks report an anchor once and only count its further places, so a passage in very many documents doesn't meet in one task.  An anchor with
+more than ``HOT_CONTENTS`` different contents is split by window: equal windows become one content, which goes to the shard of its own hash,
+so no shard holds more than a bounded number of contents of one anchor.
 
 Defined cases: null and empty texts have no words; documents shorter than a window lose nothing; a null id sorts last; rows
 repeated as a whole are treated alike; other columns are ignored.
@@ -26,19 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import cut, hot_join, order_id, partitions, row_key
+from spindle.llm.common import cut, hot_join, order_id, packed, partitions, row_key
 from spindle.llm.fm_index import FMIndex
-from spindle.llm.shingles import WordHashes, hashed, mix, powers, windows
+from spindle.llm.shingles import UNPLACE, WordHashes, hashed, mix, powers, windows
 
 WINDOW, GRAM = 20, 8
-HOT_ANCHOR = 10_000
+HOT_CONTENTS = 5_000
 SHARD_TOKENS = 400_000  #: words in a shard, about
 SEARCH_ROWS = 50_000  #: windows that are searched at once
 SEEN_CONTENTS = 200_000
 
 
-def name_of(h: np.ndarray) -> int:
-    return int(mix(np.array([(h * powers(h.size)).sum(dtype=np.uint64) ^ np.uint64(h.size)], dtype=np.uint64)).view(np.int64)[0])
+def names_of(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the word runs ``start`` to ``stop`` of a text, from running sums."""
+    part = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * powers(h.size), dtype=np.uint64)])
+    return mix((part[stop] - part[start]) * powers(h.size + 1, UNPLACE)[start] + (stop - start).astype(np.uint64)).view(np.int64)
 
 
 def fragments_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -59,74 +62,73 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """``(anchor, _o, _tag, a, b)``: the fragments of all documents as window starts ``a`` to ``b``."""
-    names = ["anchor", "_o", "_tag", "a", "b"]
+    """``(key, probe, places, anchor, _o, _tag, a, b)``: the fragments of all documents as window starts ``a`` to ``b``.
+
+    The first place of an anchor in a batch is its probe: it has the anchor as key and counts the batch's places.  The others are repeats for
+    certain and have keys of their own.
+    """
+    names = ["key", "probe", "places", "anchor", "_o", "_tag", "a", "b"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             found: list[list[np.ndarray]] = [[], [], [], [], []]
             for o, tag, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                anchor, a, b = fragments_of(hashed((t.as_py() or "").encode().split(), cache))
+                anchor, a, b = fragments_of(hashed((t.as_py() or "").encode("utf-8", "surrogatepass").split(), cache))
                 for column, x in zip(found, (anchor, np.full(anchor.size, o), np.full(anchor.size, tag), a, b), strict=True):
                     column.append(x)
             if found[0]:
-                arrays = [np.concatenate(x).astype(t) for x, t in zip(found, (np.int64,) * 3 + (np.int32,) * 2, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
-
-    return rows.select("_o", "_tag", "text").mapInArrow(run, "anchor long, _o long, _tag long, a int, b int")
-
+                anchor, o, tag, a, b = (np.concatenate(x).astype(t) for x, t in zip(found, (np.int64,) * 3 + (np.int32,) * 2, strict=True))
+                _, first, which, counts = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
+                probe = np.zeros(anchor.size, dtype=bool)
+                probe[first] = True
+                key = np.where(probe, anchor, mix((tag + a).view(np.uint64)).view(np.int64))
+                columns = [key, probe, counts[which], anchor, o, tag, a, b]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
-def packed(rows: DataFrame) -> DataFrame:
-    """``rows`` with the text compressed for the shuffle."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            small = [zlib.compress((t.as_py() or "").encode(), 1) for t in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(small, pa.binary())], names=["_o", "_tag", "doc_id", "z"])
-
-    return rows.select("_o", "_tag", "doc_id", "text").mapInArrow(run, "_o long, _tag long, doc_id long, z binary")
+    return rows.select("_o", "_tag", "text").mapInArrow(run, "key long, probe boolean, places long, anchor long, _o long, _tag long, a int, b int")
 
 
 def fragments(rows: DataFrame) -> DataFrame:
     """``(content, shard_key, _o, _tag, a, n, words)`` of every place of a repeated anchor; ``words`` at least once for each content and task."""
     spark = rows.sparkSession
-    spread = anchors(rows).repartition(partitions(spark), "anchor")
-    spread = spread.withColumn("places", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("places > 1")
+    spread = anchors(rows).repartition(partitions(spark), "key")
+    spread = spread.withColumn("total", F.sum("places").over(Window.partitionBy("key", "probe"))).where("not probe or total > 1")
     by_doc = spread.groupBy(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2")).agg(
-        F.collect_set(F.struct("a", "b", "anchor", (F.col("places") > HOT_ANCHOR).alias("hot"))).alias("found")  # within one document
+        F.collect_set(F.struct("a", "b", "anchor")).alias("found")  # within one document
     )
-    joined = packed(rows).drop("doc_id").join(by_doc, (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")))
+    joined = packed(rows.select("_o", "_tag", "text"))
+    joined = joined.join(by_doc.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")))  # neither side has a bound
     names = ["content", "shard_key", "_o", "_tag", "a", "n", "words"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = WordHashes(), set()
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-
-            def add(name: int, key: int, o: int, tag: int, a: int, n: int, found: list[bytes], out=out) -> None:  # noqa: ANN001
-                text = None
-                if name not in seen:
+            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            texts: list[bytes | None] = []
+            places = batch.column(3)
+            flat = places.values if hasattr(places, "values") else places.flatten()
+            fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(3)]  # a, b, anchor
+            ends = places.offsets.to_numpy()
+            for row, (o, tag, z) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
+                found = zlib.decompress(z.as_py()).split()
+                a, b, anchor = (f[ends[row] : ends[row + 1]] for f in fields)
+                a, b = a.astype(np.int64), b.astype(np.int64)
+                names_here = names_of(hashed(found, cache), a, b + WINDOW)
+                for column, x in zip(columns, (names_here, anchor, np.full(a.size, o), np.full(a.size, tag), a, b - a + 1), strict=True):
+                    column.append(x)
+                for name, x, y in zip(names_here.tolist(), a.tolist(), b.tolist(), strict=True):
+                    if name in seen:
+                        texts.append(None)
+                        continue
                     if len(seen) >= SEEN_CONTENTS:
                         seen.clear()
                     seen.add(name)
-                    text = b" ".join(found[a : a + n - 1 + WINDOW])
-                for column, x in zip(out, (name, key, o, tag, a, n, text), strict=True):
-                    column.append(x)
-
-            for o, tag, z, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = zlib.decompress(z).split()
-                h = hashed(found, cache)
-                for p in places:
-                    a, b = p["a"], p["b"]
-                    if p["hot"]:
-                        for s in range(a, b + 1):
-                            name = name_of(h[s : s + WINDOW])
-                            add(name, name, o, tag, s, 1, found)
-                    else:
-                        add(name_of(h[a : b + WINDOW]), p["anchor"], o, tag, a, b - a + 1, found)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+                    texts.append(b" ".join(found[x : y + WINDOW]))
+            if columns[0]:
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                arrays = [pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.binary())], names=names)
 
     return joined.select("_o", "_tag", "z", "found").mapInArrow(
         run, "content long, shard_key long, _o long, _tag long, a int, n int, words binary"
@@ -163,7 +165,7 @@ def repeats_in_shard(pieces: pd.DataFrame) -> pd.DataFrame:
         for_all = np.flatnonzero(statistic == WINDOW)
         if for_all.size:
             spans, which = np.unique(np.stack([lo[for_all], hi[for_all]], axis=1), axis=0, return_inverse=True)
-            edges = np.append(spans.ravel(), flat.size)
+            edges = np.append(spans.ravel(), by_suffix.size)
             earliest = np.minimum.reduceat(np.append(by_suffix, np.iinfo(np.int64).max), edges)[:-1:2]
             late[k + for_all] = rank[k + for_all] > earliest[which.ravel()]
     hit = np.flatnonzero(late)
@@ -178,6 +180,30 @@ def repeats_in_shard(pieces: pd.DataFrame) -> pd.DataFrame:
                          "a": (base + offset[first]).astype(np.int32), "b": (base + offset[last]).astype(np.int32)})
 
 
+def single_windows(contents: DataFrame) -> DataFrame:
+    """The first places of contents as one content for each different window, with the other places of each: ``(content, f, places, words)``."""
+    names = ["content", "_o", "_tag", "a", "words"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            out: list[tuple] = []
+            for o, tag, a, n, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found, start = words.split(), np.arange(n)
+                named = names_of(hashed(found, cache), start, start + WINDOW).tolist()
+                out += [(name, o, tag, a + k, b" ".join(found[k : k + WINDOW])) for k, name in enumerate(named)]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=names)
+
+    return contents.select("_o", "_tag", "a", "n", "words").mapInArrow(run, "content long, _o long, _tag long, a int, words binary")
+
+
+def later_places(found: DataFrame, several: DataFrame) -> DataFrame:
+    """``(_o, _tag, a, n)`` of the places of contents (columns ``content``, ``places``, first place ``f``) that are not the first."""
+    rows = hot_join(found.select("content", "_o", "_tag", "a", "n"), several, "content", "places")
+    return rows.where(F.struct("_o", "_tag", "a") != F.col("f")).select("_o", "_tag", "a", "n")
+
+
 def repeats(rows: DataFrame) -> DataFrame:
     """``(_o, _tag, spans)``: for each document with repeats the window starts that are repeats, as runs ``(a, b)``."""
     spark = rows.sparkSession
@@ -189,13 +215,21 @@ def repeats(rows: DataFrame) -> DataFrame:
     contents = cut(contents.select("content", "f.*", "places", "n", "words", "shard_key"), "contents")
 
     shared = contents.groupBy("shard_key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") + WINDOW).alias("t")).where("c > 1")
-    tokens = shared.agg(F.sum("t")).first()[0] or 0
+    shared = cut(shared, "shared")
+    tokens = shared.where(F.col("c") <= HOT_CONTENTS).agg(F.sum("t")).first()[0] or 0
     shards = max(partitions(spark), -(-int(tokens) // SHARD_TOKENS))
-    meet = contents.join(shared.select("shard_key"), "shard_key").withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
-    inner = meet.select("shard", "_o", "_tag", "a", "n", "words").groupBy("shard").applyInPandas(repeats_in_shard, "_o long, _tag long, a int, b int")
+    meet = contents.join(shared.select("shard_key", "c"), "shard_key")
+    hot = cut(single_windows(meet.where(F.col("c") > HOT_CONTENTS)), "windows")
+    alone = hot.groupBy("content").agg(F.min(F.struct("_o", "_tag", "a")).alias("f"), F.count(F.lit(1)).alias("places"), F.max("words").alias("words"))
+    alone = cut(alone, "window_contents")
+    pieces = meet.where(F.col("c") <= HOT_CONTENTS).select("shard_key", "_o", "_tag", "a", "n", "words").unionByName(
+        alone.select(F.col("content").alias("shard_key"), "f.*", F.lit(1).alias("n"), "words")
+    )
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
+    inner = pieces.select("shard", "_o", "_tag", "a", "n", "words").groupBy("shard").applyInPandas(repeats_in_shard, "_o long, _tag long, a int, b int")
 
-    several = contents.where("places > 1").select("content", "places", F.struct("_o", "_tag", "a").alias("f"))
-    again = hot_join(found.select("content", "_o", "_tag", "a", "n"), several, "content", "places").where(F.struct("_o", "_tag", "a") != F.col("f"))
+    again = later_places(found, contents.where("places > 1").select("content", "places", F.struct("_o", "_tag", "a").alias("f")))
+    again = again.unionByName(later_places(hot.withColumn("n", F.lit(1)), alone.where("places > 1").select("content", "places", "f")))
     again = again.select("_o", "_tag", "a", (F.col("a") + F.col("n") - 1).cast("int").alias("b"))
     return inner.unionByName(again).groupBy("_o", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # within one document
 
@@ -207,7 +241,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = keyed(docs, id_col, text_col)
     gone = cut(repeats(rows), "repeats").select(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"), "spans")
-    joined = packed(rows).join(gone, (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")), "left")
+    joined = packed(rows.select("_o", "_tag", "doc_id", "text")).join(gone.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")), "left")
     span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span]
     names = ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "spans"]
@@ -216,7 +250,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, z, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                found = zlib.decompress(z.as_py()).split()
+                found = zlib.decompress(z.as_py()).split() if z.is_valid else []
                 stay = np.ones(len(found) + 1, dtype=bool)
                 for s in spans or ():
                     stay[s["a"] : s["b"] + WINDOW] = False
