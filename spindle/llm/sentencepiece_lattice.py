@@ -17,7 +17,6 @@ input; other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -26,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import cut, order_id, partitions, row_key
+from spindle.llm.common import cut, order_id, packed, partitions, row_key, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-HEAD_WORDS = 1 << 18  #: words whose encoding all tasks hold
+HEAD_WORDS = 1 << 20  #: words whose encoding all tasks hold (about 200 bytes each)
 COUNTED_WORDS = 300_000  #: distinct words that a task adds up before it hands them on
-LONG_WORD = 48  #: characters from which on words are cut where no piece can reach across
+CUT_WORDS = 200_000  #: words whose parts a task remembers
 FOLD_LIMIT = 256  #: longer words without such a place are folded by the Arrow helper
 SPACE = "▁"
 OWN_SPACE = "" + ""  #: stands for a U+2581 of the text; no piece has it
@@ -47,6 +46,7 @@ class Pieces:
         self.id = {p: i for i, p, _ in rows}
         self.score = {p: s for _, p, s in rows}
         self.pairs = {p[k : k + 2] for _, p, _ in rows for k in range(len(p) - 1)}
+        self.known: dict[str, list[str]] = {}
         self.spines: dict[int, tuple[list, list]] = {}
         self.beside: dict[tuple[int, int], bool] = {}
 
@@ -107,14 +107,22 @@ class Pieces:
     def words(self, text: str) -> list[str]:
         """The units that are encoded on their own, in order."""
         marked = SPACE + text.replace(SPACE, OWN_SPACE[0]).replace(" ", SPACE)
-        out = []
+        out: list[str] = []
+        known = self.known
         for word in UNIT.findall(marked):
-            out += [word] if len(word) < LONG_WORD else self.parts(word)
+            parts = known.get(word)
+            out += self.parts(word) if parts is None else parts
         return out
 
     def parts(self, word: str) -> list[str]:
-        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.pairs]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+        """The word, cut wherever no piece holds the two characters that meet: no path can reach across."""
+        pairs = self.pairs
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs]
+        out = [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+        if len(self.known) >= CUT_WORDS:
+            self.known.clear()
+        self.known[word] = out
+        return out
 
     def bytes_of(self, char: str) -> list[int]:
         raw = (SPACE if char == OWN_SPACE[0] else char).encode("utf-8", "surrogatepass")
@@ -132,15 +140,25 @@ class Pieces:
                 at += len(self.text[piece])
         return out
 
-    def predecessors(self, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> list[list[int]]:
-        """For each edge the edges before it that it may follow; -1 stands for the start of the word."""
+    def predecessors(self, starts: list[int], ends: list[int], ids: list[int], flat: list[int], counts: list[int]) -> None:
+        """Adds for each edge the edges before it that it may follow, and how many; -1 stands for the start of the word."""
         by_end: dict[int, list[int]] = {}
-        out = []
-        for k, (s, e, piece) in enumerate(zip(starts, ends, ids, strict=True)):
-            ok = self.reachable(piece)
-            out.append(([-1] if s == 0 else [j for j in by_end.get(s, ()) if self.allowed(ids[j], piece)]) if ok else [])
-            by_end.setdefault(e, []).append(k)
-        return out
+        beside, allowed = self.beside, self.allowed
+        for k, s in enumerate(starts):
+            piece = ids[k]
+            if s == 0:
+                flat.append(-1)
+                counts.append(1)
+            else:
+                before = len(flat)
+                for j in by_end.get(s, ()):
+                    ok = beside.get((ids[j], piece))
+                    if allowed(ids[j], piece) if ok is None else ok:
+                        flat.append(j)
+                counts.append(len(flat) - before)
+                if counts[-1] == 0:
+                    continue  # nothing leads here: no later edge need look at it
+            by_end.setdefault(ends[k], []).append(k)
 
     def decode(self, ids: list[int]) -> str:
         raw = bytearray()
@@ -180,7 +198,8 @@ def counted_words(docs: DataFrame, pieces: Pieces, text_col: str) -> DataFrame:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    return spark.createDataFrame(pieces.rows, "id int, piece string, score double")
+    """The pieces that a path may use: for merged models those that merging can make."""
+    return spark.createDataFrame([r for r in pieces.rows if pieces.reachable(r[0])], "id int, piece string, score double")
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -202,11 +221,18 @@ def viterbi(grid: DataFrame, pieces: Pieces) -> DataFrame:
     """``(word, n, path)``: the best allowed path through each lattice, by two folds over its edges."""
     shared = grid.sparkSession.sparkContext.broadcast(pieces)
 
-    @F.pandas_udf("array<array<int>>")
-    def followed(edges):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series([shared.value.predecessors([x["s"] for x in e], [x["e"] for x in e], [x["id"] for x in e]) for e in edges], dtype=object)
+    def followed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges = batch.column(2)
+            first = edges.offsets.to_pylist()
+            starts, ends, ids = (edges.values.field(k).to_pylist() for k in (1, 0, 2))
+            flat: list[int] = []
+            counts: list[int] = []
+            for a, b in zip(first, first[1:], strict=False):
+                shared.value.predecessors(starts[a:b], ends[a:b], ids[a:b], flat, counts)
+            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, pa.int32()))
+            before = pa.ListArray.from_arrays(pa.array(np.array(first, dtype=np.int32) - first[0]), inner)
+            yield pa.RecordBatch.from_arrays([*batch.columns, before], names=["word", "n", "edges", "before"])
 
     forward = F.expr(
         """aggregate(sequence(0, size(edges) - 1), cast(array() as array<struct<total: double, back: int>>), (acc, k) ->
@@ -223,7 +249,8 @@ def viterbi(grid: DataFrame, pieces: Pieces) -> DataFrame:
         """aggregate(sequence(size(edges) - 1, 0, -1), named_struct('want', last, 'path', cast(array() as array<int>)), (acc, k) ->
              if(acc.want = k, named_struct('want', best[k].back, 'path', concat(array(edges[k].id), acc.path)), acc)).path"""
     )
-    steps = grid.withColumn("before", followed("edges")).withColumn("best", forward).withColumn("last", last)
+    kinds = "word string, n long, edges array<struct<e: int, s: int, id: int, score: double>>, before array<array<int>>"
+    steps = grid.select("word", "n", "edges").mapInArrow(followed, kinds).withColumn("best", forward).withColumn("last", last)
     return steps.select("word", "n", backward.alias("path"))
 
 
@@ -263,20 +290,35 @@ def best_path(word: str, pieces: Pieces) -> list[int]:
     return path[::-1]
 
 
-def word_paths(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
-    """``(word, n, path)`` for every distinct word of the corpus."""
+def coded(paths: DataFrame, pieces: Pieces) -> DataFrame:
+    """``(word, n, code)``: the ids of each path as 32-bit integers."""
+    shared = paths.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            codes = [np.array(shared.value.ids(w, p), dtype=np.uint32).tobytes() for w, p in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(codes, pa.binary())], names=["word", "n", "code"])
+
+    return paths.mapInArrow(run, "word string, n long, code binary")
+
+
+def word_codes(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
+    """``(word, n, code)`` for every distinct word of the corpus."""
     words = counted_words(docs, pieces, text_col).repartition(partitions(docs.sparkSession), "word")
     short = viterbi(lattice(words.where(F.length("word") <= FOLD_LIMIT), pieces), pieces)
-    return cut(short.unionByName(long_paths(words.where(F.length("word") > FOLD_LIMIT), pieces)), "words")
+    return cut(coded(short.unionByName(long_paths(words.where(F.length("word") > FOLD_LIMIT), pieces)), pieces), "words")
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)`` for every row."""
     spark, pieces = docs.sparkSession, pieces or Pieces.load()
-    known = word_paths(docs, pieces, text_col)
-    head = known.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "path").toArrow()
-    head_ids = {w: pieces.ids(w, p) for w, p in zip(head.column(0).to_pylist(), head.column(1).to_pylist(), strict=True)}
-    shared = spark.sparkContext.broadcast((pieces, head_ids))
+    known = word_codes(docs, pieces, text_col)
+    head = known.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "code").toArrow()
+    frequent_codes: dict[str, bytes] = {}
+    for part in head.to_batches(max_chunksize=50_000):
+        frequent_codes.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+    shared = spark.sparkContext.broadcast((pieces, frequent_codes))
     rows = row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).withColumn("_o", order_id())
 
     def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,33 +332,28 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["_o", "_tag", "word"])
 
     full = rows.where("text <> ''")
-    others = full.select("_o", "_tag", "text").mapInArrow(rare, "_o long, _tag long, word string").distinct()
-    others = others.join(known.select("word", "path"), "word").groupBy(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"))
-    others = others.agg(F.collect_list(F.struct("word", "path")).alias("_rare"))  # within one document
-
-    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            small = [None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(small, pa.binary())], names=["_o", "_tag", "doc_id", "z"])
+    others = full.select("_o", "_tag", "text").mapInArrow(rare, "_o long, _tag long, word string")  # rows repeated as a whole give words twice
+    others = others.join(known.select("word", "code"), "word").groupBy(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"))
+    others = others.agg(F.collect_list(F.struct("word", "code")).alias("_rare"))  # within one document
 
-    whole = rows.select("_o", "_tag", "doc_id", "text").mapInArrow(packed, "_o long, _tag long, doc_id long, z binary")
-    joined = whole.join(others, (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")), "left")
+    whole = packed(rows.select("_o", "_tag", "doc_id", "text"))
+    joined = whole.join(others.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")), "left")  # neither side has a bound
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, frequent = shared.value
         for batch in batches:
-            out = []
+            codes: list[bytes | None] = []
             for z, rare_words in zip(batch.column(1), batch.column(2), strict=True):
-                if z.as_py() is None:
-                    out.append(None)
+                text = unpacked(z.as_py())
+                if not text:
+                    codes.append(None if text is None else b"")
                     continue
-                text = zlib.decompress(z.as_py()).decode("utf-8", "surrogatepass")
-                local = {r["word"]: own.ids(r["word"], r["path"]) for r in rare_words.as_py() or ()}
-                found: list[int] = []
-                for w in own.words(text) if text else ():
-                    found += frequent[w] if w in frequent else local[w]
-                out.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                local = {r["word"]: r["code"] for r in rare_words.as_py() or ()}
+                codes.append(b"".join([frequent[w] if w in frequent else local[w] for w in own.words(text)]))
+            ends = np.concatenate([[0], np.cumsum([len(c or b"") // 4 for c in codes])]).astype(np.int32)
+            flat = np.frombuffer(b"".join(c or b"" for c in codes), dtype=np.uint32).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([c is None for c in codes]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     return joined.select("doc_id", "z", "_rare").mapInArrow(assemble, "doc_id long, ids array<int>")
 
