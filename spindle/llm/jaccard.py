@@ -32,7 +32,7 @@ WORDS, PERCENT = 5, 80  #: words of a shingle and least similarity, where the ca
 BAND = 1.4  #: upper over lower set size of a band
 SEEN_NODES = 200_000  #: nodes that a task remembers in order not to emit a set twice
 SKETCH_WORDS = 32  #: 64-bit words of the whole-set sketch that candidates are compared by
-ROUNDS = 3  #: how often the open buckets are compared with one node each before the rest is compared in full
+ROUNDS = 3  #: how often the nodes of open buckets are compared with one centre before the rest is compared in full
 
 
 def band_edges(limit: int = 1 << 40) -> np.ndarray:
@@ -184,7 +184,7 @@ def may_link(a: str, b: str, percent: int) -> Column:
 def link_components(shared: DataFrame, rows: DataFrame, percent: int, check) -> DataFrame:  # noqa: ANN001
     """``(node, root)`` of the linked nodes in shared buckets; ``check`` verifies pairs ``(a, b)``.
 
-    A round compares the nodes of each bucket with one of them.  Rounds go on while they find links and buckets with many nodes in different
+    A round compares each node with one other: the centre that it shares the most buckets with.  Rounds go on while they find links and buckets with many nodes in different
     components are left; then all pairs of a bucket that are still in different components and that the sketches don't rule out are verified.
     """
     met = shared.select("node").distinct()
@@ -195,7 +195,12 @@ def link_components(shared: DataFrame, rows: DataFrame, percent: int, check) ->
         both = pairs.distinct().join(facts_of("a"), "a").join(facts_of("b"), "b")
         return cut(both.where(may_link("f_a", "f_b", percent)).select("a", "b"), "pairs")
 
-    tried = sifted(shared.where("node <> lo").select(*ordered("node", "lo")))
+    def one_each(pairs: DataFrame) -> DataFrame:
+        """For each node the one of its partners that it shares the most buckets with."""
+        counts = pairs.groupBy("node", "other").agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy("node").agg(F.max(F.struct("n", "other")).alias("m")).select(*ordered("node", F.col("m.other")))
+
+    tried = sifted(one_each(shared.where("node <> lo").select("node", F.col("lo").alias("other"))))
     links = check(tried)
     n_links = links.count()
     for round_no in range(1, ROUNDS + 1):
@@ -210,8 +215,8 @@ def link_components(shared: DataFrame, rows: DataFrame, percent: int, check) ->
             return roots
         if round_no == ROUNDS or left["pairs"] <= 8 * left["rows"] or not n_links:
             break
-        rest = placed.join(main, "bucket").where("root <> main").select(*ordered("node", "centre"))
-        new = sifted(rest.join(tried, ["a", "b"], "left_anti"))
+        rest = placed.join(main, "bucket").where("root <> main").select("node", F.col("centre").alias("other"))
+        new = sifted(one_each(rest).join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(new)
         found = check(new)
         n_links = found.count()

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from spindle.llm.common import cut, order_id, packed, partitions, row_key, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-HEAD_WORDS = 1 << 20  #: words whose encoding all tasks hold (about 200 bytes each)
-COUNTED_WORDS = 300_000  #: distinct words that a task adds up before it hands them on
-CUT_WORDS = 200_000  #: words whose parts a task remembers
+HEAD_WORDS = 1 << 18  #: words whose encoding all tasks hold (about 200 bytes each)
+COUNTED_WORDS = 100_000  #: distinct words that a task adds up before it hands them on
+CUT_WORDS = 60_000  #: words whose parts a task remembers
 FOLD_LIMIT = 256  #: longer words without such a place are folded by the Arrow helper
 SPACE = "▁"
 OWN_SPACE = "" + ""  #: stands for a U+2581 of the text; no piece has it
@@ -96,7 +96,7 @@ class Pieces:
             return True
         key = (a, b)
         if key not in self.beside:
-            if len(self.beside) > 1_000_000:
+            if len(self.beside) > 300_000:
                 self.beside.clear()
             score = self.score.get
             self.beside[key] = not any(
@@ -305,7 +305,7 @@ def coded(paths: DataFrame, pieces: Pieces) -> DataFrame:
 
 def word_codes(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
     """``(word, n, code)`` for every distinct word of the corpus."""
-    words = counted_words(docs, pieces, text_col).repartition(partitions(docs.sparkSession), "word")
+    words = cut(counted_words(docs, pieces, text_col), "counts").repartition(partitions(docs.sparkSession), "word")
     short = viterbi(lattice(words.where(F.length("word") <= FOLD_LIMIT), pieces), pieces)
     return cut(coded(short.unionByName(long_paths(words.where(F.length("word") > FOLD_LIMIT), pieces)), pieces), "words")
 

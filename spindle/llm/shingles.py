@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Odd 64-bit multipliers: one for each place of a shingle (powers of the first), two that finish a hash.
 PLACE, MIX1, MIX2 = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 UNPLACE = pow(PLACE, -1, 1 << 64)  # its inverse
