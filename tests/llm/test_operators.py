@@ -3,11 +3,14 @@
 import hashlib
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spindle.llm import components, exact_dedup, fm_index, html_extract, jaccard, language, lines, matroska, mixing, sentencepiece_lattice, substring_dedup, toxicity
 from spindle.llm.shingles import WordHashes, shingle_set
 
@@ -239,6 +242,37 @@ def test_mix_keeps_every_row_and_its_weights(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
 
 
+def brute_mixed(sizes):
+    """Rows of each source: as many as there are, and of the large ones the most that leave none above the cap."""
+    cap = max(mixing.CAP, Fraction(1, len(sizes)))
+    most = max(m for m in range(1, max(sizes) + 1) if m <= cap * sum(min(n, m) for n in sizes) or m <= min(sizes))
+    return [min(n, most) for n in sizes]
+
+
+@pytest.mark.parametrize("sizes", [[50, 30, 20], [1 + k % 12 for k in range(5000)], [1 + k % 12 for k in range(4999)] + [9000], [1 + k % 3 for k in range(20000)]])
+def test_mix_stage_matches_brute_force(spark, sizes):
+    rows = [(k, s) for k, s in enumerate(f"s{s}" for s, n in enumerate(sizes) for _ in range(n))]
+    docs = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "source"])).withColumn("text", F.lit("x"))
+    kept = corpus_pipeline.mix_sources(spark, docs, "").toPandas()
+    starts, want = np.concatenate([[0], np.cumsum(sizes)]), set()
+    for s, n in enumerate(brute_mixed(sizes)):
+        want |= set(range(starts[s], starts[s] + n))
+    assert len(kept) == len(want) and set(kept["doc_id"]) == want
+
+    out = mixing.mix(docs).where("in_mix").select("source", "slot", "share").distinct().orderBy("slot").toPandas()
+    assert out["slot"].tolist() == list(range(len(out)))
+    turn = out.groupby("source").cumcount()
+    low, high = turn * len(out) // out["share"], -(-(turn + 1) * len(out) // out["share"])
+    assert ((low <= out["slot"]) & (out["slot"] < high)).all()
+
+
+def test_mix_in_larger_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 20)
+    docs = spark.createDataFrame([(k, f"s{k % 7}") for k in range(700)], "doc_id long, source string")
+    out = mixing.mix(docs).toPandas()
+    assert out["in_mix"].all() and out["slot"].max() == out["slot"].nunique() - 1 <= 20 + 7
+
+
 # lines ------------------------------------------------------------------------------------------------------------
 
 
