@@ -8,7 +8,8 @@ beside it; exactly one path is then left, the one that SentencePiece's own mergi
 The ``HEAD_WORDS`` most frequent words reach all executors as a dictionary of that many entries at most; all others are joined by word.
 
 Text form: one space is put in front, spaces become U+2581, nothing else is normalised; characters without a piece become byte pieces.
-A U+2581 in the text itself is kept apart from spaces and encoded as bytes, so that decoding always returns the text.
+A U+2581 in the text itself changes places with the space: it is kept apart from spaces and encoded as bytes, and all other characters stand for
+themselves, so that decoding always returns the text.
 
 Defined cases: null gives null ids and null text; an empty text gives no ids; ids may repeat or be null; rows repeat as they do in the
 input; other columns are ignored.
@@ -33,7 +34,8 @@ COUNTED_WORDS = 100_000  #: distinct words that a task adds up before it hands t
 CUT_WORDS = 60_000  #: words whose parts a task remembers
 FOLD_LIMIT = 256  #: longer words without such a place are folded by the Arrow helper
 SPACE = "▁"
-OWN_SPACE = "" + ""  #: stands for a U+2581 of the text; no piece has it
+OWN_SPACE = " "  #: stands for a U+2581 of the text: its spaces have become U+2581, so no text holds one any more, and no piece does
+SWAPPED = str.maketrans(" " + SPACE, SPACE + OWN_SPACE)
 
 
 class Pieces:
@@ -106,7 +108,7 @@ class Pieces:
 
     def words(self, text: str) -> list[str]:
         """The units that are encoded on their own, in order."""
-        marked = SPACE + text.replace(SPACE, OWN_SPACE[0]).replace(" ", SPACE)
+        marked = SPACE + (text.translate(SWAPPED) if SPACE in text else text.replace(" ", SPACE))
         out: list[str] = []
         known = self.known
         for word in UNIT.findall(marked):
@@ -125,7 +127,7 @@ class Pieces:
         return out
 
     def bytes_of(self, char: str) -> list[int]:
-        raw = (SPACE if char == OWN_SPACE[0] else char).encode("utf-8", "surrogatepass")
+        raw = (SPACE if char == OWN_SPACE else char).encode("utf-8", "surrogatepass")
         return [self.first_byte + b for b in raw]
 
     def ids(self, word: str, path: list[int]) -> list[int]:

@@ -131,6 +131,21 @@ def test_encoding_equals_the_library_and_decodes_exactly(spark, monkeypatch):
     assert sentencepiece_lattice.decode(sentencepiece_lattice.encode(tricky)).first()["text"] == "▁a ▁ b"
 
 
+@pytest.mark.parametrize("head", [0, 1000])
+def test_private_use_characters_and_own_marks_come_back(spark, monkeypatch, head):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece_lattice, "HEAD_WORDS", head)
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL)
+    rng = random.Random(5)
+    texts = ["\ue000", "a\ue000b \uf8ff", "\ue000\uf8ff the", " \ue000 "] + ["".join(rng.choice("ab  \ue000\uf8ff\n") for _ in range(30)) for _ in range(30)]
+    marked = ["▁", " ▁", "▁ ", "▁\ue000 ▁\uf8ff▁"] + ["".join(rng.choice("ab  ▁\ue000\uf8ff\n") for _ in range(30)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts + marked)), "doc_id long, text string")
+    got = {r["doc_id"]: (list(r["ids"]), r["text"]) for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(df)).collect()}
+    assert [got[k][1] for k in range(len(got))] == texts + marked
+    assert [got[k][0] for k in range(len(texts))] == [model.encode(t) for t in texts]
+
+
 # media ------------------------------------------------------------------------------------------------------------
 
 
