@@ -5,7 +5,8 @@ edges of a lattice; the edges are grouped by word and folded by a Viterbi recurs
 two edges that meet may follow one another.  For models trained by merging (BPE) an edge may only follow one that the merge rule leaves
 beside it; exactly one path is then left, the one that SentencePiece's own merging gives.
 
-The ``HEAD_WORDS`` most frequent words reach all executors as a dictionary of that many entries at most; all others are joined by word.
+The ``HEAD_WORDS`` most frequent words of ``HEAD_BYTES`` and the ``LONG_WORDS`` ones of ``LONG_BYTES`` at most reach all executors as a
+dictionary of a bounded size; all others are joined by word.
 
 Text form: one space is put in front, spaces become U+2581, nothing else is normalised; characters without a piece become byte pieces.
 A U+2581 in the text itself changes places with the space: it is kept apart from spaces and encoded as bytes, and all other characters stand for
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from spindle.llm.common import cut, order_id, packed, partitions, row_key, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-HEAD_WORDS = 1 << 18  #: words whose encoding all tasks hold (about 200 bytes each)
+HEAD_WORDS = 1 << 18  #: words whose encoding all tasks hold
+HEAD_BYTES = 64  #: largest UTF-8 size of these; a code has four bytes for each of them at most, so all together stay under 90 MB besides the objects
+LONG_WORDS, LONG_BYTES = 1000, 4096  #: the same for longer ones (under 21 MB): so few that only very frequent ones are among them
 COUNTED_WORDS = 100_000  #: distinct words that a task adds up before it hands them on
 CUT_WORDS = 60_000  #: words whose parts a task remembers
 FOLD_LIMIT = 256  #: longer words without such a place are folded by the Arrow helper
@@ -312,11 +315,17 @@ def word_codes(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataF
     return cut(coded(short.unionByName(long_paths(words.where(F.length("word") > FOLD_LIMIT), pieces)), pieces), "words")
 
 
+def head_words(known: DataFrame) -> DataFrame:
+    """``(word, code)`` of the words that all tasks hold: of bounded number and size."""
+    most = lambda least, largest, n: known.where(F.octet_length("word").between(least, largest)).orderBy(F.desc("n"), "word").limit(n)
+    return most(1, HEAD_BYTES, HEAD_WORDS).unionByName(most(HEAD_BYTES + 1, LONG_BYTES, LONG_WORDS)).select("word", "code")
+
+
 def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)`` for every row."""
     spark, pieces = docs.sparkSession, pieces or Pieces.load()
     known = word_codes(docs, pieces, text_col)
-    head = known.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "code").toArrow()
+    head = head_words(known).toArrow()
     frequent_codes: dict[str, bytes] = {}
     for part in head.to_batches(max_chunksize=50_000):
         frequent_codes.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))

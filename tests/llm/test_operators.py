@@ -146,6 +146,20 @@ def test_private_use_characters_and_own_marks_come_back(spark, monkeypatch, head
     assert [got[k][0] for k in range(len(texts))] == [model.encode(t) for t in texts]
 
 
+def test_long_words_stay_out_of_the_dictionary(spark, monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL)
+    texts = ["a" * 9000 + " the", "the " + "e" * 6000, "a" * 9000, "n" * 100 + " of", "in " + "n" * 100]
+    docs, found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []
+    collected = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: found.append(collected(self)) or found[-1])
+    got = {r["doc_id"]: list(r["ids"]) for r in sentencepiece_lattice.encode(docs).collect()}
+    assert got == {k: model.encode(t) for k, t in enumerate(texts)}
+    words = [w for t in found for w in t.column("word").to_pylist()]
+    assert "▁the" in words and "▁" + "n" * 100 in words and max(map(len, words)) <= 4096
+
+
 # media ------------------------------------------------------------------------------------------------------------
 
 
