@@ -7,7 +7,8 @@ log P(l | all) = tempered log-likelihood of the text's byte trigrams under l  (l
 Host and suffix priors are sums of the text-only posteriors of the other documents there.
 
 Defined cases: a null or letterless text has no text evidence and is rejected (``lang`` ``und``); a null declaration, host or suffix
-adds no evidence of that kind; ties go to the language that sorts first; without any labelled row everything is ``und``;
+adds no evidence of that kind, nor does a declaration that is not one of the ``MAX_LANGUAGES`` labels with most rows (of equal ones those that
+sort first): it counts as undeclared and its row gets a result from the rest; ties go to the language that sorts first; without any labelled row everything is ``und``;
 ids may repeat or be null; other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from spindle.llm.common import cut, hot_join
 
 BUCKETS = 1 << 16  #: hashed byte trigrams
-MAX_LANGUAGES = 256
+MAX_LANGUAGES = 256  #: labels that are languages; the others have too little support and count as undeclared
 SMOOTH = 0.5  #: added to each trigram count
 TEMPER = 0.05  #: neighbouring trigrams are far from independent
 PRIOR_ROWS = 20.0  #: rows that the next wider prior counts as
@@ -48,6 +49,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
     Each task adds up its rows, so at most ``BUCKETS`` rows a language leave it and reach the driver.
     """
     rows = labelled.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).where("label is not null and text is not null")
+    top = [r["label"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()]
+    rows = rows.where(F.col("label").isin(top))
     schema = pa.schema([("label", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +66,6 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang") ->
 
     counts = rows.mapInArrow(count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["label"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     table = np.full((BUCKETS, len(languages)), SMOOTH)
     for k, language in enumerate(languages):
         own = counts[counts["label"] == language]
@@ -128,23 +129,23 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, keys: lis
     total = [(everywhere[f"_p{k}"] or 0.0) + 1.0 for k in range(width)]
     base = [x / sum(total) for x in total]
 
-    def prior(post: list[Column], wider: list[Column]) -> Column:
-        n = sum(post[1:], post[0])
-        return F.array(*[(p + PRIOR_ROWS * w) / (n + PRIOR_ROWS) for p, w in zip(post, wider, strict=True)])
+    def prior(post: Column, wider: Column) -> Column:
+        n = F.array(F.aggregate(post, F.lit(0.0), lambda s, x: s + x))  # added up once a row, not once an element
+        return F.transform(n, lambda n: F.zip_with(post, wider, lambda p, w: (p + PRIOR_ROWS * w) / (n + PRIOR_ROWS)))[0]
 
-    by_suffix = known.groupBy("_suffix").agg(*summed(F.col("text_post"), width))
-    suffix_prior = by_suffix.select("_suffix", prior([F.col(f"_p{k}") for k in range(width)], [F.lit(x) for x in base]).alias("_wide"))
+    sums = F.array(*[F.sum(F.col("text_post")[k]) for k in range(width)])
+    base, zeros = F.array(*map(F.lit, base)), F.array(*[F.lit(0.0)] * width)
+    by_suffix = known.groupBy("_suffix").agg(sums.alias("_sums"))
+    suffix_prior = by_suffix.select("_suffix", prior(F.col("_sums"), base).alias("_wide"))
     by_host = known.groupBy("_host").agg(
-        F.count(F.lit(1)).alias("_rows"), F.max("_suffix").alias("_suffix"), F.array(*[F.sum(F.col("text_post")[k]) for k in range(width)]).alias("_sums")
+        F.count(F.lit(1)).alias("_rows"), F.max("_suffix").alias("_suffix"), sums.alias("_sums")
     )
     hosts = cut(by_host.where("_host <> ''").join(suffix_prior, "_suffix", "left").drop("_suffix"), "hosts")
     joined = hot_join(scored, hosts, "_host", "_rows", "left")
     post = F.col("text_post")
-    wide = [F.coalesce(F.col("_wide")[k], F.lit(base[k])) for k in range(width)]
-    others = [F.coalesce(F.col("_sums")[k], F.lit(0.0)) - F.coalesce(post[k], F.lit(0.0)) for k in range(width)]
-    others = [F.greatest(x, F.lit(0.0)) for x in others]
-    evidence = F.transform(prior(others, wide), lambda x: F.log(x))
-    evidence = added(evidence, F.coalesce(F.transform(post, lambda x: F.log(F.greatest(x, F.lit(1e-300)))), F.array(*[F.lit(0.0)] * width)))
+    others = F.zip_with(F.coalesce("_sums", zeros), F.coalesce(post, zeros), lambda s, p: F.greatest(s - p, F.lit(0.0)))
+    evidence = F.transform(prior(others, F.coalesce("_wide", base)), lambda x: F.log(x))
+    evidence = added(evidence, F.coalesce(F.transform(post, lambda x: F.log(F.greatest(x, F.lit(1e-300)))), zeros))
     miss = math.log(max((1 - trust) / max(1, width - 1), 1e-9))
     marked = F.array(*[F.when(F.col("_declared") == name, math.log(trust)).otherwise(miss) for name in languages])
     evidence = F.when(F.col("_declared").isin(languages), added(evidence, marked)).otherwise(evidence)

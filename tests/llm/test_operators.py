@@ -111,6 +111,19 @@ def test_language_held_out_and_evidence(spark, sf):
     assert (one["declared"], one["host"], one["suffix"], one["text"].split()) == ("de", "www.x.de", "de", ["hallo"]) and two["declared"] is None and two["host"] is None
 
 
+def test_more_labels_than_languages(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(("the", "of", "and")) for _ in range(20)), "en", "a1") for k in range(30)]
+    rows += [(k, " ".join(rng.choice(("le", "les", "des")) for _ in range(20)), "fr", "b1") for k in range(30, 60)]
+    rows += [(k, "les des le " * 5, f"x{k}", "b1") for k in range(60, 358)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    languages, table = language.fit(docs)
+    assert len(languages) == language.MAX_LANGUAGES == table.shape[1] and {"en", "fr"} <= set(languages)
+    found = {r["doc_id"]: r for r in language.identify_documents(docs, ["doc_id"]).collect()}
+    assert len(found) == len(rows) and all(found[k]["text_lang"] == "en" == found[k]["lang"] for k in range(30))
+
+
+
 # SentencePiece ----------------------------------------------------------------------------------------------------
 
 
