@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, or an own one where that is unset (tests)."""
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir``; only a local session (tests) gets an own one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(scratch_root, "own", None)
         if root is None:
             root = scratch_root.own = tempfile.mkdtemp(prefix="spark-spindle-")
@@ -44,7 +47,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/spindle/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written and no later step reads; without any, only what finished steps have left behind.
+
+    The driver's garbage collection that follows lets Spark remove the shuffle files of those steps.
+    """
+    context = SparkContext.getOrCreate()
+    for df in tables:
+        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    context._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

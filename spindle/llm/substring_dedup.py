@@ -27,21 +27,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import cut, hot_join, order_id, packed, partitions, row_key
+from spindle.llm.common import cut, drop, hot_join, order_id, packed, partitions, row_key
 from spindle.llm.fm_index import FMIndex
-from spindle.llm.shingles import UNPLACE, WordHashes, hashed, mix, powers, windows
+from spindle.llm.shingles import PLACE, UNPLACE, WordHashes, hashed, mix, powers, windows
 
 WINDOW, GRAM = 20, 8
+SECOND = np.uint64(0xD6E8FEB86659FD93)  #: odd multiplier of the second half of a name
 HOT_CONTENTS = 5_000
 SHARD_TOKENS = 400_000  #: words in a shard, about
 SEARCH_ROWS = 50_000  #: windows that are searched at once
 SEEN_CONTENTS = 200_000
 
 
-def names_of(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of the word runs ``start`` to ``stop`` of a text, from running sums."""
-    part = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * powers(h.size), dtype=np.uint64)])
-    return mix((part[stop] - part[start]) * powers(h.size + 1, UNPLACE)[start] + (stop - start).astype(np.uint64)).view(np.int64)
+def names_of(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    """128-bit names of the word runs ``start`` to ``stop`` of a text, as two hashes from running sums."""
+    out = []
+    for words, base, inverse in ((h, PLACE, UNPLACE), (mix(h ^ SECOND), int(SECOND), pow(int(SECOND), -1, 1 << 64))):
+        part = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * powers(h.size, base), dtype=np.uint64)])
+        out.append(mix((part[stop] - part[start]) * powers(h.size + 1, inverse)[start] + (stop - start).astype(np.uint64)))
+    return out
+
+
+def as_binary(first: np.ndarray, second: np.ndarray) -> pa.Array:
+    """Names as 16 bytes each."""
+    both = np.ascontiguousarray(np.stack([first, second], axis=1))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), first.size, [None, pa.py_buffer(both)]).cast(pa.binary())
 
 
 def fragments_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,12 +72,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """``(key, probe, places, anchor, _o, _tag, a, b)``: the fragments of all documents as window starts ``a`` to ``b``.
+    """``(key, salt, places, _o, _tag, a, n)``: the fragments of all documents as ``n`` window starts from ``a``.
 
-    The first place of an anchor in a batch is its probe: it has the anchor as key and counts the batch's places.  The others are repeats for
-    certain and have keys of their own.
+    The first place of an anchor in a batch has the anchor as key, no salt and counts the batch's places.  The others are repeats for
+    certain; the salt gives them keys of their own.
     """
-    names = ["key", "probe", "places", "anchor", "_o", "_tag", "a", "b"]
+    names = ["key", "salt", "places", "_o", "_tag", "a", "n"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -75,28 +85,34 @@ def anchors(rows: DataFrame) -> DataFrame:
             found: list[list[np.ndarray]] = [[], [], [], [], []]
             for o, tag, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 anchor, a, b = fragments_of(hashed((t.as_py() or "").encode("utf-8", "surrogatepass").split(), cache))
-                for column, x in zip(found, (anchor, np.full(anchor.size, o), np.full(anchor.size, tag), a, b), strict=True):
+                for column, x in zip(found, (anchor, np.full(anchor.size, o), np.full(anchor.size, tag), a, b - a + 1), strict=True):
                     column.append(x)
             if found[0]:
-                anchor, o, tag, a, b = (np.concatenate(x).astype(t) for x, t in zip(found, (np.int64,) * 3 + (np.int32,) * 2, strict=True))
+                anchor, o, tag, a, n = (np.concatenate(x).astype(t) for x, t in zip(found, (np.int64,) * 3 + (np.int32,) * 2, strict=True))
                 _, first, which, counts = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
-                probe = np.zeros(anchor.size, dtype=bool)
-                probe[first] = True
-                key = np.where(probe, anchor, mix((tag + a).view(np.uint64)).view(np.int64))
-                columns = [key, probe, counts[which], anchor, o, tag, a, b]
+                salt = (mix((tag + a).view(np.uint64)) >> np.uint64(33)).astype(np.int32) | 1
+                salt[first] = 0
+                columns = [salted(anchor, salt), salt, counts[which].astype(np.int32), o, tag, a, n]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
-    return rows.select("_o", "_tag", "text").mapInArrow(run, "key long, probe boolean, places long, anchor long, _o long, _tag long, a int, b int")
+    return rows.select("_o", "_tag", "text").mapInArrow(run, "key long, salt int, places int, _o long, _tag long, a int, n int")
+
+
+def salted(key: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """The key under a salt, or the other way round; salt 0 changes nothing."""
+    return key ^ np.where(salt == 0, 0, mix(salt.astype(np.uint64)).view(np.int64))
 
 
 def fragments(rows: DataFrame) -> DataFrame:
     """``(content, shard_key, _o, _tag, a, n, words)`` of every place of a repeated anchor; ``words`` at least once for each content and task."""
     spark = rows.sparkSession
     spread = anchors(rows).repartition(partitions(spark), "key")
-    spread = spread.withColumn("total", F.sum("places").over(Window.partitionBy("key", "probe"))).where("not probe or total > 1")
+    spread = spread.withColumn("total", F.sum("places").over(Window.partitionBy("key", "salt"))).where("salt <> 0 or total > 1")
     by_doc = spread.groupBy(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2")).agg(
-        F.collect_set(F.struct("a", "b", "anchor")).alias("found")  # within one document
+        F.collect_set(F.struct("a", "n", "key", "salt")).alias("found")  # within one document
     )
+    by_doc = cut(by_doc, "anchors")
+    drop()
     joined = packed(rows.select("_o", "_tag", "text"))
     joined = joined.join(by_doc.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")))  # neither side has a bound
     names = ["content", "shard_key", "_o", "_tag", "a", "n", "words"]
@@ -104,34 +120,34 @@ def fragments(rows: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = WordHashes(), set()
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            columns: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
             texts: list[bytes | None] = []
             places = batch.column(3)
             flat = places.values if hasattr(places, "values") else places.flatten()
-            fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(3)]  # a, b, anchor
+            fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]  # a, n, key, salt
             ends = places.offsets.to_numpy()
             for row, (o, tag, z) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 found = zlib.decompress(z.as_py()).split()
-                a, b, anchor = (f[ends[row] : ends[row + 1]] for f in fields)
-                a, b = a.astype(np.int64), b.astype(np.int64)
-                names_here = names_of(hashed(found, cache), a, b + WINDOW)
-                for column, x in zip(columns, (names_here, anchor, np.full(a.size, o), np.full(a.size, tag), a, b - a + 1), strict=True):
+                a, n, key, salt = (f[ends[row] : ends[row + 1]] for f in fields)
+                a, n = a.astype(np.int64), n.astype(np.int64)
+                first, second = names_of(hashed(found, cache), a, a + n + (WINDOW - 1))
+                for column, x in zip(columns, (first, second, salted(key, salt), np.full(a.size, o), np.full(a.size, tag), a, n), strict=True):
                     column.append(x)
-                for name, x, y in zip(names_here.tolist(), a.tolist(), b.tolist(), strict=True):
+                for name, x, y in zip(zip(first.tolist(), second.tolist(), strict=True), a.tolist(), (a + n).tolist(), strict=True):
                     if name in seen:
                         texts.append(None)
                         continue
                     if len(seen) >= SEEN_CONTENTS:
                         seen.clear()
                     seen.add(name)
-                    texts.append(b" ".join(found[x : y + WINDOW]))
+                    texts.append(b" ".join(found[x : y + WINDOW - 1]))
             if columns[0]:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-                arrays = [pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(columns, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.binary())], names=names)
+                named = as_binary(np.concatenate(columns[0]), np.concatenate(columns[1]))
+                arrays = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(columns[2:], (np.int64,) * 3 + (np.int32,) * 2, strict=True)]
+                yield pa.RecordBatch.from_arrays([named, *arrays, pa.array(texts, pa.binary())], names=names)
 
     return joined.select("_o", "_tag", "z", "found").mapInArrow(
-        run, "content long, shard_key long, _o long, _tag long, a int, n int, words binary"
+        run, "content binary, shard_key long, _o long, _tag long, a int, n int, words binary"
     )
 
 
@@ -190,12 +206,12 @@ def single_windows(contents: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for o, tag, a, n, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found, start = words.split(), np.arange(n)
-                named = names_of(hashed(found, cache), start, start + WINDOW).tolist()
+                named = as_binary(*names_of(hashed(found, cache), start, start + WINDOW)).to_pylist()
                 out += [(name, o, tag, a + k, b" ".join(found[k : k + WINDOW])) for k, name in enumerate(named)]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=names)
 
-    return contents.select("_o", "_tag", "a", "n", "words").mapInArrow(run, "content long, _o long, _tag long, a int, words binary")
+    return contents.select("_o", "_tag", "a", "n", "words").mapInArrow(run, "content binary, _o long, _tag long, a int, words binary")
 
 
 def later_places(found: DataFrame, several: DataFrame) -> DataFrame:
@@ -213,17 +229,18 @@ def repeats(rows: DataFrame) -> DataFrame:
         F.max("shard_key").alias("shard_key"),
     )
     contents = cut(contents.select("content", "f.*", "places", "n", "words", "shard_key"), "contents")
+    drop()
 
     shared = contents.groupBy("shard_key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") + WINDOW).alias("t")).where("c > 1")
     shared = cut(shared, "shared")
-    tokens = shared.where(F.col("c") <= HOT_CONTENTS).agg(F.sum("t")).first()[0] or 0
-    shards = max(partitions(spark), -(-int(tokens) // SHARD_TOKENS))
     meet = contents.join(shared.select("shard_key", "c"), "shard_key")
     hot = cut(single_windows(meet.where(F.col("c") > HOT_CONTENTS)), "windows")
     alone = hot.groupBy("content").agg(F.min(F.struct("_o", "_tag", "a")).alias("f"), F.count(F.lit(1)).alias("places"), F.max("words").alias("words"))
     alone = cut(alone, "window_contents")
+    tokens = (shared.where(F.col("c") <= HOT_CONTENTS).agg(F.sum("t")).first()[0] or 0) + alone.count() * (WINDOW + 1)
+    shards = max(partitions(spark), -(-int(tokens) // SHARD_TOKENS))
     pieces = meet.where(F.col("c") <= HOT_CONTENTS).select("shard_key", "_o", "_tag", "a", "n", "words").unionByName(
-        alone.select(F.col("content").alias("shard_key"), "f.*", F.lit(1).alias("n"), "words")
+        alone.select(F.xxhash64("content").alias("shard_key"), "f.*", F.lit(1).alias("n"), "words")
     )
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
     inner = pieces.select("shard", "_o", "_tag", "a", "n", "words").groupBy("shard").applyInPandas(repeats_in_shard, "_o long, _tag long, a int, b int")
@@ -240,7 +257,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``kept`` are the words that stay, joined by one space; ``spans`` the runs of removed words as ``(start, length)``.
     """
     rows = keyed(docs, id_col, text_col)
-    gone = cut(repeats(rows), "repeats").select(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"), "spans")
+    gone = cut(repeats(rows), "repeats")
+    drop()
+    gone = gone.select(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"), "spans")
     joined = packed(rows.select("_o", "_tag", "doc_id", "text")).join(gone.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")), "left")
     span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span]
