@@ -56,10 +56,15 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if h.size else h
+
+
 def shingle_set(text: str | None, n: int, cache: WordHashes) -> np.ndarray:
     """Distinct shingles of ``n`` words in lower case (A-Z only), sorted; a shorter text is one shingle, an empty one has none."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     h = hashed(found, cache)
     if 0 < h.size < n:
         return windows(h, h.size) ^ np.uint64(h.size)
-    return np.unique(windows(h, n))
+    return distinct(windows(h, n))
