@@ -1,7 +1,8 @@
 """Operator 3: SentencePiece encoding and decoding over a relational lattice.
 
 Every distinct word is encoded once: its substrings of bounded length are exploded and equi-joined with the piece table, which gives the
-edges of a lattice; the edges are grouped by word and folded by a Viterbi recursion in Spark's ``aggregate``.  For unigram models every
+edges of a lattice; the edges are grouped by word, those on no allowed path are left out, and the others are folded by a Viterbi recursion in
+Spark's ``aggregate``.  For unigram models every
 two edges that meet may follow one another.  For models trained by merging (BPE) an edge may only follow one that the merge rule leaves
 beside it; exactly one path is then left, the one that SentencePiece's own merging gives.
 
@@ -27,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import cut, order_id, packed, partitions, row_key, unpacked
+from spindle.llm.common import cut, drop, order_id, packed, partitions, row_key, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-HEAD_WORDS = 1 << 18  #: words whose encoding all tasks hold
-HEAD_BYTES = 64  #: largest UTF-8 size of these; a code has four bytes for each of them at most, so all together stay under 90 MB besides the objects
+HEAD_WORDS = 1 << 17  #: words whose encoding all tasks hold
+HEAD_BYTES = 64  #: largest UTF-8 size of these; a code has four bytes for each of them at most, so all together stay under 45 MB besides the objects
 LONG_WORDS, LONG_BYTES = 1000, 4096  #: the same for longer ones (under 21 MB): so few that only very frequent ones are among them
-COUNTED_WORDS = 100_000  #: distinct words that a task adds up before it hands them on
-CUT_WORDS = 60_000  #: words whose parts a task remembers
-FOLD_LIMIT = 256  #: longer words without such a place are folded by the Arrow helper
+COUNTED_WORDS, COUNTED_CHARS = 150_000, 1 << 26  #: distinct words, and characters read, after which a task hands its counts on
+LONG_WORD = 24  #: longer units are cut where no piece reaches across, so that texts without spaces don't become one word each
+PAIRS = 100_000  #: pairs of pieces whose standing side by side a task remembers
+ROWS_AT_ONCE = 1_000  #: rows that are turned into Python objects together
+FOLD_LIMIT = 1024  #: longer words without such a place are folded by the Arrow helper
 SPACE = "▁"
 OWN_SPACE = " "  #: stands for a U+2581 of the text: its spaces have become U+2581, so no text holds one any more, and no piece does
 SWAPPED = str.maketrans(" " + SPACE, SPACE + OWN_SPACE)
@@ -51,10 +54,24 @@ class Pieces:
         self.id = {p: i for i, p, _ in rows}
         self.score = {p: s for _, p, s in rows}
         self.pairs = {p[k : k + 2] for _, p, _ in rows for k in range(len(p) - 1)}
-        self.known: dict[str, list[str]] = {}
+        self.unit = re.compile(self.unit_pattern())
         self.spines: dict[int, tuple[list, list]] = {}
         self.beside: dict[tuple[int, int], bool] = {}
 
+    def unit_pattern(self) -> str:
+        """How a text is cut into units: leading spaces belong to the word after them; a line feed has no piece and stands alone.
+
+        Runs of letters and digits are also cut from runs of other characters, which hold the few letters that pieces join to such, unless a
+        piece still reaches across.
+        """
+        letter = lambda char, but="": bool(re.match(r"[^\W_]", char)) and char not in but
+        inner = [p for p in self.pairs if SPACE not in p]
+        odd = "".join(sorted({c for p in inner if letter(p[0]) != letter(p[1]) for c in p if letter(c)}))
+        if any(letter(a, odd) != letter(b, odd) for a, b in inner):
+            return f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
+        one = f"[^\\W_{re.escape(odd)}]"
+        return f"\n|{SPACE}*{one}+|{SPACE}*(?:(?!{one})[^{SPACE}\n])+|{SPACE}+"
+
     @staticmethod
     def load(path: str = MODEL) -> Pieces:
         import sentencepiece
@@ -101,7 +118,7 @@ class Pieces:
             return True
         key = (a, b)
         if key not in self.beside:
-            if len(self.beside) > 300_000:
+            if len(self.beside) > PAIRS:
                 self.beside.clear()
             score = self.score.get
             self.beside[key] = not any(
@@ -110,24 +127,17 @@ class Pieces:
         return self.beside[key]
 
     def words(self, text: str) -> list[str]:
-        """The units that are encoded on their own, in order."""
-        marked = SPACE + (text.translate(SWAPPED) if SPACE in text else text.replace(" ", SPACE))
-        out: list[str] = []
-        known = self.known
-        for word in UNIT.findall(marked):
-            parts = known.get(word)
-            out += self.parts(word) if parts is None else parts
-        return out
-
-    def parts(self, word: str) -> list[str]:
-        """The word, cut wherever no piece holds the two characters that meet: no path can reach across."""
+        """The text as words, in order; each is encoded on its own."""
+        units = self.unit.findall(SPACE + (text.translate(SWAPPED) if SPACE in text else text.replace(" ", SPACE)))
+        if max(map(len, units), default=0) <= LONG_WORD:
+            return units
+        return [word for unit in units for word in ((unit,) if len(unit) <= LONG_WORD else self.parts(unit))]
+
+    def parts(self, unit: str) -> list[str]:
+        """The unit, cut wherever no piece holds the two characters that meet: no path can reach across."""
         pairs = self.pairs
-        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs]
-        out = [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
-        if len(self.known) >= CUT_WORDS:
-            self.known.clear()
-        self.known[word] = out
-        return out
+        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in pairs]
+        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)] if cuts else [unit]
 
     def bytes_of(self, char: str) -> list[int]:
         raw = (SPACE if char == OWN_SPACE else char).encode("utf-8", "surrogatepass")
@@ -145,25 +155,36 @@ class Pieces:
                 at += len(self.text[piece])
         return out
 
-    def predecessors(self, starts: list[int], ends: list[int], ids: list[int], flat: list[int], counts: list[int]) -> None:
-        """Adds for each edge the edges before it that it may follow, and how many; -1 stands for the start of the word."""
+    def alive(self, starts: list[int], ends: list[int], ids: list[int]) -> tuple[list[int], list[list[int]]]:
+        """The edges (ordered by end) that lie on an allowed path through the word, and for each of them the ones before it, by their
+        numbers among those; -1 stands for the start of the word."""
         by_end: dict[int, list[int]] = {}
         beside, allowed = self.beside, self.allowed
+        before: list[list[int]] = []
         for k, s in enumerate(starts):
-            piece = ids[k]
+            piece, own = ids[k], []
             if s == 0:
-                flat.append(-1)
-                counts.append(1)
+                own.append(-1)
             else:
-                before = len(flat)
                 for j in by_end.get(s, ()):
                     ok = beside.get((ids[j], piece))
                     if allowed(ids[j], piece) if ok is None else ok:
-                        flat.append(j)
-                counts.append(len(flat) - before)
-                if counts[-1] == 0:
-                    continue  # nothing leads here: no later edge need look at it
-            by_end.setdefault(ends[k], []).append(k)
+                        own.append(j)
+            before.append(own)
+            if own:  # else nothing leads here: no later edge need look at it
+                by_end.setdefault(ends[k], []).append(k)
+        wanted, size = set(by_end.get(ends[-1], ())), ends[-1]
+        for k in range(len(starts) - 1, -1, -1):
+            if k in wanted and (starts[k] or ends[k] != size):
+                wanted.update(before[k])
+        wanted.discard(-1)
+        kept = sorted(wanted)
+        number = {-1: -1} | {k: i for i, k in enumerate(kept)}
+        return kept, [[number[j] for j in before[k]] for k in kept]
+
+    def code(self, word: str, path: list[int]) -> bytes:
+        """The ids of a path as 32-bit integers."""
+        return np.array(self.ids(word, path), dtype=np.uint32).tobytes()
 
     def decode(self, ids: list[int]) -> str:
         raw = bytearray()
@@ -175,16 +196,19 @@ class Pieces:
         return bytes(raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
 
-#: Leading spaces belong to the word after them; a line feed has no piece and stands alone.
-UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
 
 
 def counted_words(docs: DataFrame, pieces: Pieces, text_col: str) -> DataFrame:
-    """``(word, n)`` of all units of all texts; tasks add up their own first."""
+    """``(word, n)`` of all words of all texts; tasks add up their own first."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        words, chars = shared.value.words, 0
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -193,9 +217,12 @@ def counted_words(docs: DataFrame, pieces: Pieces, text_col: str) -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0):
-                counts.update(shared.value.words(t.as_py() or ""))
-                if len(counts) > COUNTED_WORDS:
+                text = t.as_py()
+                counts.update(words(text))
+                chars += len(text)
+                if len(counts) > COUNTED_WORDS or chars > COUNTED_CHARS:
                     yield out()
+                    chars = 0
         yield out()
 
     found = docs.select(F.col(text_col).alias("text")).where("text <> ''").mapInArrow(run, "word string, n long")
@@ -227,17 +254,24 @@ def viterbi(grid: DataFrame, pieces: Pieces) -> DataFrame:
     shared = grid.sparkSession.sparkContext.broadcast(pieces)
 
     def followed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            edges = batch.column(2)
-            first = edges.offsets.to_pylist()
-            starts, ends, ids = (edges.values.field(k).to_pylist() for k in (1, 0, 2))
-            flat: list[int] = []
-            counts: list[int] = []
-            for a, b in zip(first, first[1:], strict=False):
-                shared.value.predecessors(starts[a:b], ends[a:b], ids[a:b], flat, counts)
-            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, pa.int32()))
-            before = pa.ListArray.from_arrays(pa.array(np.array(first, dtype=np.int32) - first[0]), inner)
-            yield pa.RecordBatch.from_arrays([*batch.columns, before], names=["word", "n", "edges", "before"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                edges = batch.column(2)
+                first = edges.offsets.to_numpy()
+                all_edges = edges.values.slice(first[0], first[-1] - first[0])
+                starts, ends, ids = (all_edges.field(k).to_pylist() for k in (1, 0, 2))
+                places, before, sizes = [], [], []
+                first = (first - first[0]).tolist()
+                for a, b in zip(first, first[1:], strict=False):
+                    kept, own = shared.value.alive(starts[a:b], ends[a:b], ids[a:b])
+                    places += [a + k for k in kept]
+                    before += own
+                    sizes.append(len(kept))
+                limits = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                inner = pa.array(before, pa.list_(pa.int32()))
+                lists = [pa.ListArray.from_arrays(limits, x) for x in (all_edges.take(pa.array(places, pa.int32())), inner)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["word", "n", "edges", "before"])
 
     forward = F.expr(
         """aggregate(sequence(0, size(edges) - 1), cast(array() as array<struct<total: double, back: int>>), (acc, k) ->
@@ -263,13 +297,12 @@ def long_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
     """The same recursion for words beyond ``FOLD_LIMIT``, where a fold that copies its state would be quadratic."""
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
-    @F.pandas_udf("array<int>")
-    def path(found):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series([best_path(w, shared.value) for w in found], dtype=object)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = [best_path(w.as_py(), shared.value) for w in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(pa.int32()))], names=["word", "n", "path"])
 
-    return words.select("word", "n", path("word").alias("path"))
+    return words.select("word", "n").mapInArrow(run, "word string, n long, path array<int>")
 
 
 def best_path(word: str, pieces: Pieces) -> list[int]:
@@ -295,72 +328,67 @@ def best_path(word: str, pieces: Pieces) -> list[int]:
     return path[::-1]
 
 
-def coded(paths: DataFrame, pieces: Pieces) -> DataFrame:
-    """``(word, n, code)``: the ids of each path as 32-bit integers."""
-    shared = paths.sparkSession.sparkContext.broadcast(pieces)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            codes = [np.array(shared.value.ids(w, p), dtype=np.uint32).tobytes() for w, p in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(codes, pa.binary())], names=["word", "n", "code"])
-
-    return paths.mapInArrow(run, "word string, n long, code binary")
-
-
-def word_codes(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
-    """``(word, n, code)`` for every distinct word of the corpus."""
-    words = cut(counted_words(docs, pieces, text_col), "counts").repartition(partitions(docs.sparkSession), "word")
+def word_paths(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
+    """``(word, n, path)`` for every distinct word of the corpus."""
+    counts = cut(counted_words(docs, pieces, text_col), "counts")
+    drop()
+    words = counts.repartition(partitions(docs.sparkSession), "word")
     short = viterbi(lattice(words.where(F.length("word") <= FOLD_LIMIT), pieces), pieces)
-    return cut(coded(short.unionByName(long_paths(words.where(F.length("word") > FOLD_LIMIT), pieces)), pieces), "words")
+    known = cut(short.unionByName(long_paths(counts.where(F.length("word") > FOLD_LIMIT), pieces)), "words")
+    drop(counts)
+    return known
 
 
 def head_words(known: DataFrame) -> DataFrame:
-    """``(word, code)`` of the words that all tasks hold: of bounded number and size."""
+    """``(word, path)`` of the words that all tasks hold: of bounded number and size."""
     most = lambda least, largest, n: known.where(F.octet_length("word").between(least, largest)).orderBy(F.desc("n"), "word").limit(n)
-    return most(1, HEAD_BYTES, HEAD_WORDS).unionByName(most(HEAD_BYTES + 1, LONG_BYTES, LONG_WORDS)).select("word", "code")
+    return most(1, HEAD_BYTES, HEAD_WORDS).unionByName(most(HEAD_BYTES + 1, LONG_BYTES, LONG_WORDS)).select("word", "path")
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)`` for every row."""
     spark, pieces = docs.sparkSession, pieces or Pieces.load()
-    known = word_codes(docs, pieces, text_col)
-    head = head_words(known).toArrow()
-    frequent_codes: dict[str, bytes] = {}
-    for part in head.to_batches(max_chunksize=50_000):
-        frequent_codes.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((pieces, frequent_codes))
+    known = word_paths(docs, pieces, text_col)
+    frequent: dict[str, bytes] = {}
+    for part in head_words(known).toArrow().to_batches(max_chunksize=50_000):
+        words, paths = part.column(0).to_pylist(), part.column(1).to_pylist()
+        frequent.update(zip(words, map(pieces.code, words, paths), strict=True))
+    shared = spark.sparkContext.broadcast((pieces, frequent))
     rows = row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).withColumn("_o", order_id())
 
     def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, frequent = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             out: tuple[list, list, list] = ([], [], [])
             for o, tag, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = [w for w in set(own.words(t.as_py())) if w not in frequent]
+                found = set(own.words(t.as_py())).difference(frequent)
                 for column, values in zip(out, ([o] * len(found), [tag] * len(found), found), strict=True):
                     column.extend(values)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["_o", "_tag", "word"])
 
     full = rows.where("text <> ''")
     others = full.select("_o", "_tag", "text").mapInArrow(rare, "_o long, _tag long, word string")  # rows repeated as a whole give words twice
-    others = others.join(known.select("word", "code"), "word").groupBy(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"))
-    others = others.agg(F.collect_list(F.struct("word", "code")).alias("_rare"))  # within one document
+    others = others.join(known.select("word", "path"), "word").groupBy(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"))
+    others = others.agg(F.collect_list(F.struct("word", "path")).alias("_rare"))  # within one document
 
     whole = packed(rows.select("_o", "_tag", "doc_id", "text"))
     joined = whole.join(others.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")), "left")  # neither side has a bound
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, frequent = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             codes: list[bytes | None] = []
             for z, rare_words in zip(batch.column(1), batch.column(2), strict=True):
                 text = unpacked(z.as_py())
                 if not text:
                     codes.append(None if text is None else b"")
                     continue
-                local = {r["word"]: r["code"] for r in rare_words.as_py() or ()}
-                codes.append(b"".join([frequent[w] if w in frequent else local[w] for w in own.words(text)]))
+                words = own.words(text)
+                found = list(map(frequent.get, words))
+                if None in found:
+                    local = {r["word"]: own.code(r["word"], r["path"]) for r in rare_words.as_py()}
+                    found = [local[w] if c is None else c for w, c in zip(words, found, strict=True)]
+                codes.append(b"".join(found))
             ends = np.concatenate([[0], np.cumsum([len(c or b"") // 4 for c in codes])]).astype(np.int32)
             flat = np.frombuffer(b"".join(c or b"" for c in codes), dtype=np.uint32).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([c is None for c in codes]))
@@ -370,13 +398,15 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
 
 
 def decode(encoded: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` and ``text``: the text that the ids stand for."""
+    """``encoded`` and ``text``, in place of a column of that name: the text that the ids stand for."""
     shared = encoded.sparkSession.sparkContext.broadcast(pieces or Pieces.load())
 
-    @F.pandas_udf("string")
-    def text(ids):  # noqa: ANN001, ANN202
-        import pandas as pd
+    schema = encoded.drop("text").schema.add("text", "string")
+    names = schema.names
 
-        return pd.Series([None if x is None else shared.value.decode(list(x)) for x in ids], dtype=object)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts = [shared.value.decode(ids.as_py()) if ids.is_valid else None for ids in batch.column(names.index(ids_col))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
-    return encoded.withColumn("text", text(ids_col))
+    return encoded.drop("text").mapInArrow(run, schema)
