@@ -25,7 +25,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """Append-only index ``(digest, keep_id, group_size)``, one row per digest ever seen."""
+    """Append-only index ``(digest, keep_id)``, one row per digest ever seen, bucketed and sorted by digest."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
         self.spark = spark
@@ -38,31 +38,37 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def _append(self, fresh: DataFrame) -> None:
-        (
-            fresh.select("digest", "keep_id", "group_size")
-            .repartition(self.buckets, "digest")
-            .write.mode("append")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.name)
-        )
+    def add(self, rows: DataFrame) -> None:
+        """Append the digests of ``rows`` that the index doesn't hold yet, each with its smallest id."""
+        fresh = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+        if self.exists():
+            fresh = fresh.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        fresh = fresh.select("digest", "keep_id").repartition(self.buckets, "digest")
+        fresh.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Add a batch; return ``(doc_id, digest, keep_id, group_size, kept)`` for each of its rows.
+    def look_up(self, rows: DataFrame) -> DataFrame:
+        """``(doc_id, digest, keep_id, group_size, kept)``; ``group_size`` counts the text's rows among ``rows``."""
+        sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+        held = cut(self.rows().hint("merge").join(sizes, "digest"), "held")
+        return hot_join(rows, held, "digest", "group_size").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
-        ``keep_id`` is the row that the index holds: one of an earlier batch, or else the smallest id of this one.
-        ``group_size`` counts the rows of the batch that first brought the text.
-        """
+    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Add a batch and look its rows up: ``keep_id`` is a row of an earlier batch, or else the smallest id of this one."""
         rows = cut(digests(docs, id_col, text_col), "digests")
-        batch = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        known = self.rows() if self.exists() else None
-        fresh = batch if known is None else batch.join(known.select("digest").hint("merge"), "digest", "left_anti")
-        self._append(fresh)
-        joined = hot_join(rows, self.rows(), "digest", "group_size")
-        return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Deduplicate one corpus against a new index."""
-    return DigestIndex(docs.sparkSession).ingest(docs, id_col, text_col)
+        self.add(rows)
+        return self.look_up(rows)
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Deduplicate one corpus against a new index, or a given one that outlives the call.
+
+    The corpus comes in two batches, the smaller ids first (null ids last): what the second one brings is new only if the anti-join
+    finds it in neither the first nor an older batch.
+    """
+    index = index or DigestIndex(docs.sparkSession)
+    rows = cut(digests(docs, id_col, text_col), "digests")
+    middle = rows.agg(F.percentile_approx("doc_id", 0.5).alias("m")).first()["m"]
+    first = F.coalesce(F.col("doc_id") <= F.lit(middle).cast("long"), F.lit(False))
+    index.add(rows.where(first))
+    index.add(rows.where(~first))
+    return index.look_up(rows)

@@ -46,6 +46,13 @@ def test_digest_index_over_batches(spark):
     assert out == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 2, True), (4, 3, 2, False), (5, 5, 3, True), (None, 5, 3, False)}
     later = index.ingest(spark.createDataFrame([(0, "a\nb"), (9, "new")], "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in later} == {(0, 1, False), (9, 9, True)} and index.rows().count() == 4
+    kept = exact_dedup.DigestIndex(spark)
+    assert exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), kept).count() == len(rows)
+    again = exact_dedup.exact_dedup(spark.createDataFrame([(0, "c"), (7, "c "), (8, None)], "doc_id long, text string"), kept)
+    assert {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in again.collect()} == {(0, 5, 1, False), (7, 7, 1, True), (8, 3, 1, False)}
+    late = spark.createDataFrame([(k, f"t{k % 7}") for k in range(40)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(late).collect()}
+    assert got == {k: (k % 7, 6 if k % 7 < 5 else 5) for k in range(40)}
     assert exact_dedup.exact_dedup(odd(spark)).count() == len(ODD) and exact_dedup.exact_dedup(odd(spark).limit(0)).count() == 0
 
 
