@@ -428,6 +428,14 @@ def join_declared_theta(q: Query) -> DataFrame:
     return df.select("n_nationkey", F.size("cheaper_suppliers").cast("long").alias("n"))
 
 
+@register(
+    "SELECT n_regionkey, n FROM (SELECT n_nationkey, n_regionkey, CASE WHEN count(s_suppkey) > 0 THEN count(s_suppkey) END AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal < n_nationkey * 400 GROUP BY n_nationkey, n_regionkey)"
+)
+def join_theta_duplicates(q: Query) -> DataFrame:
+    df = q.select("nation", ["n_regionkey", Rel("cheaper_suppliers", ("s_suppkey",))])
+    return df.select("n_regionkey", F.size("cheaper_suppliers").cast("long").alias("n"))
+
+
 @register("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus HAVING count(*) > 100")
 def view_simple(q: Query) -> DataFrame:
     return q.select("status_totals", ["o_orderstatus", "n", "total"], {"n": {"gt": 100}}).transform(money("total"))
@@ -566,6 +574,18 @@ def perm_row_filter(q: Query) -> DataFrame:
     return Query(q.catalog, Context("buyer", "10")).select("orders", ["o_orderkey", "o_totalprice"])
 
 
+@register("SELECT c_mktsegment, count(*) AS n, CAST(NULL AS DOUBLE) AS most, count(DISTINCT o_orderkey) AS own FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_custkey = 10) ON o_custkey = c_custkey GROUP BY c_mktsegment")
+def perm_hidden_aggregate(q: Query) -> DataFrame:
+    aggs = [Agg("_rows_count", alias="n"), Agg("c_acctbal", "max", alias="most"), Agg("orders.o_orderkey", "count", alias="own")]
+    return Query(q.catalog, Context("buyer", "10")).buckets("customer", ["c_mktsegment"], aggs)
+
+
+@register("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_custkey = 10 AND o_totalprice > 1000) OR c_custkey < 3")
+def perm_nested_filter(q: Query) -> DataFrame:
+    asked = {"_or": [{"orders": {"any_of": {"o_totalprice": {"gt": 1000}}}}, {"c_custkey": {"lt": 3}}]}
+    return Query(q.catalog, Context("buyer", "10")).select("customer", ["c_custkey"], asked)
+
+
 @register("SELECT o_orderkey FROM orders WHERE false")
 def perm_fail_closed(q: Query) -> DataFrame:
     return Query(q.catalog, Context("stranger")).select("orders", ["o_orderkey"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -177,16 +179,51 @@ class Query:
             return self.ctx.value(tree[7:-1])
         return tree
 
-    def check(self, obj: DataObject, name: str) -> None:
+    def check(self, obj: DataObject, name: str, shown: bool = False) -> None:
+        """Whether the role may use the field; ``shown``: in a way that would give away a hidden one."""
         rule = self.catalog.rule(self.ctx, obj.name, name)
-        if rule and rule.disabled:
+        if rule and (rule.disabled or (shown and rule.hidden)):
             raise PermissionError(f"{obj.name}.{name} is not open to {self.ctx.role}")
 
+    def check_paths(self, obj: DataObject, paths: Iterable[str | None], shown: bool = False) -> None:
+        """The same for dotted paths, which may run through relations or into structs."""
+        for path in paths:
+            if not path or path.startswith("_"):
+                continue
+            name, _, rest = path.partition(".")
+            rel = next((r for r in obj.relations if r.name == name), None)
+            self.check(obj, name, shown)
+            if rel is not None and rest:
+                self.check_paths(self.catalog.object(rel.target), [rest], shown)
+
+    def check_filter(self, obj: DataObject, tree: dict | None) -> None:
+        """The same for every field of a filter, in nested and related conditions too."""
+        maker = Filter(self.catalog, self.ctx, obj, self.rows)
+        for name, value in (tree or {}).items():
+            if value is None:
+                continue
+            if name in ("_and", "_or"):
+                for part in value:
+                    self.check_filter(obj, part)
+            elif name == "_not":
+                self.check_filter(obj, value)
+            else:
+                self.check(obj, name)
+                if rel := maker.relation_of(name, value):
+                    asked = [value[k] for k in ("any_of", "all_of", "none_of") if k in value]
+                    for part in asked or [value]:
+                        self.check_filter(self.catalog.object(rel.target), part)
+
+    def masked(self, obj: DataObject, df: DataFrame) -> DataFrame:
+        """``df`` with NULL in the fields that are hidden from the role."""
+        rules = {c: self.catalog.rule(self.ctx, obj.name, c) for c in df.columns if not c.startswith("_")}
+        hidden = [c for c, rule in rules.items() if rule and rule.hidden]
+        return df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in hidden}) if hidden else df
+
     def base(self, obj: DataObject, filter=None, order_by=(), limit=None, offset=0, distinct_on=(), args=None) -> DataFrame:  # noqa: A002, ANN001
         df = self.rows(obj, args=args)
-        for name in filter or {}:
-            if not name.startswith("_"):
-                self.check(obj, name)
+        self.check_filter(obj, filter)
+        self.check_paths(obj, [x if isinstance(x, str) else x[0] for x in (*order_by, *distinct_on) if not isinstance(x, Column)] if limit is not None or distinct_on else [], shown=True)
         df = Filter(self.catalog, self.ctx, obj, lambda o, c: self.rows(o, c)).apply(df, filter)
         if distinct_on:
             df = first_of(df, tuple(distinct_on), tuple(order_by))
@@ -254,7 +291,7 @@ class Query:
             rule = self.catalog.rule(self.ctx, obj.name, f.name)
             picked[f.label] = F.lit(None).cast("string") if rule and rule.hidden else self.column(f, df.schema)
         if obj.cube:
-            return self.cube(df, obj, plain)
+            return self.cube(self.masked(obj, df), obj, plain)
         inner = {f"_own_{c}" for r in rels for c in self.own_keys(obj, r)}
         out = df.select(*[c.alias(a) for a, c in picked.items()], *[F.col(c).alias(f"_keep_{c}") for c in keep], *[F.col(c[5:]).alias(c) for c in sorted(inner)])
         order = [*picked]
@@ -278,7 +315,8 @@ class Query:
         child = self.base(target, r.filter, r.order_by, r.limit, r.offset, r.distinct_on, r.args)
         keys = [t for _, t in rel.keys] + (rel_columns(rel.on, "r") if rel.on else [])
         if r.aggs:
-            rows = child.withColumns({f"_keep_{k}": F.col(k) for k in keys})
+            self.check_paths(target, [x for a in r.aggs for x in (a.field, a.order if a.order != "value" else None)])
+            rows = self.masked(target, child.withColumns({f"_keep_{k}": F.col(k) for k in keys}))
             cols = []
         else:
             sorts = [x if isinstance(x, str) else x[0] for x in (*r.order_by, *r.nested_order_by)]
@@ -334,12 +372,8 @@ class Query:
         return rows.groupBy(*parent_keys).agg(gathered.alias(r.label))
 
     def theta(self, out: DataFrame, r: Rel, rel: Relation, rows: DataFrame, pairs: list, cols: list[str], how: str) -> tuple[DataFrame, list[str]]:
-        left = out.withColumn("_row", F.xxhash64(*out.columns)) if not pairs else out
-        cond = rel.on
-        for c in rel_columns(rel.on, "l"):
-            cond = cond.replace(f"l.{c}", f"`_own_{c}`")
-        for c in rel_columns(rel.on, "r"):
-            cond = cond.replace(f"r.{c}", f"`_keep_{c}`")
+        left = out if r.unnest else out.withColumn("_row", F.monotonically_increasing_id())  # equal parents stay apart
+        cond = re.sub(r"\b([lr])\.(\w+)", lambda m: f"`_{'own' if m[1] == 'l' else 'keep'}_{m[2]}`", rel.on)
         on = F.expr(cond)
         for a, k in pairs:
             on = on & (F.col(f"_own_{a}") == F.col(k))
@@ -347,11 +381,11 @@ class Query:
         names = [f"{r.label}_{c}" for c in cols]
         if r.unnest:
             return left.join(rows, on, how).drop(*[c for c in rows.columns if c not in names]), names
-        group = [c for c in out.columns]
         joined = left.join(rows, on, how)
         hit = F.col(next(c for c in rows.columns if c.startswith("_keep_"))).isNotNull()
         packed = F.collect_list(F.when(hit, F.struct(*[F.col(n).alias(c) for n, c in zip(names, cols, strict=True)])))
-        got = joined.groupBy(*group).agg(packed.alias(r.label))
+        first = [F.any_value(c).alias(c) for c in out.columns]
+        got = joined.groupBy("_row").agg(*first, packed.alias(r.label)).drop("_row")
         return got.withColumn(r.label, F.when(F.size(r.label) > 0, F.col(r.label))), [r.label]
 
     def cube(self, df: DataFrame, obj: DataObject, plain: list[Col]) -> DataFrame:
@@ -373,7 +407,7 @@ class Query:
                 continue  # a struct column
             target = self.catalog.object(rel.target)
             inner = [p.split(".", 1)[1] for p in paths if p.startswith(f"{name}.")]
-            child = self.flat(target, self.rows(target), inner)
+            child = self.flat(target, self.masked(target, self.rows(target)), inner)
             child = child.select(F.struct(*child.columns).alias(name), *[F.col(t).alias(f"_k_{t}") for _, t in rel.keys])
             if rel.junction:
                 link = self.rows(self.catalog.object(rel.junction))
@@ -392,7 +426,8 @@ class Query:
         df = self.base(obj, filter, order_by, limit, offset, distinct_on, args)
         if similarity:
             df = V.nearest(df, similarity["name"], similarity["vector"], similarity.get("distance", "L2"), similarity["limit"], list(similarity.get("ties", obj.pk)))
-        df = self.flat(obj, df, [a.field for a in aggs])
+        self.check_paths(obj, [x for a in aggs for x in (a.field, a.order if a.order != "value" else None)])
+        df = self.flat(obj, self.masked(obj, df), [a.field for a in aggs])
         return df.agg(*[agg_column(a, df.schema).alias(a.label) for a in aggs])
 
     def buckets(self, name: str, key: list, aggs: list[Agg] | None = None, branches: list[Branch] | None = None, filter: dict | None = None,  # noqa: A002
@@ -401,7 +436,10 @@ class Query:
         obj = self.catalog.object(name)
         key = [Col(k) if isinstance(k, str) else k for k in key]
         branches = branches or ([Branch(tuple(aggs))] if aggs else [])
-        df = self.base(obj, filter, args=args)
+        self.check_paths(obj, [k.name for k in key] + [x for b in branches for a in b.aggs for x in (a.field, a.order if a.order != "value" else None)])
+        for b in branches:
+            self.check_filter(obj, b.filter)
+        df = self.masked(obj, self.base(obj, filter, args=args))
         df = self.flat(obj, df, [k.name for k in key] + [a.field for b in branches for a in b.aggs])
         own = [(self.column(k, df.schema) if "." not in k.name else F.col(k.name)).alias(k.label) for k in key]
         if not branches:
@@ -425,8 +463,14 @@ class Query:
         obj = self.catalog.object(name)
         rel = obj.relation(relation)
         parents = self.base(obj, filter)
-        child = self.rows(self.catalog.object(rel.target))
-        per = child.groupBy(*[F.col(t).alias(f"_k{k}") for k, (_, t) in enumerate(rel.keys)]).agg(*[agg_column(a, child.schema).alias(a.label) for a in inner])
+        target = self.catalog.object(rel.target)
+        self.check_paths(obj, [relation])
+        self.check_paths(target, [x for a in inner for x in (a.field, a.order if a.order != "value" else None)])
+        child = self.rows(target)
+        for _, t in rel.keys:
+            child = child.withColumn(f"_key_{t}", F.col(t))
+        child = self.masked(target, child)
+        per = child.groupBy(*[F.col(f"_key_{t}").alias(f"_k{k}") for k, (_, t) in enumerate(rel.keys)]).agg(*[agg_column(a, child.schema).alias(a.label) for a in inner])
         joined = parents.join(per, reduce(Column.__and__, [parents[a] == per[f"_k{k}"] for k, (a, _) in enumerate(rel.keys)]), "left")
         made = [agg_column(Agg(label, fn), joined.schema).alias(label if label == "_rows_count" else f"{label}_{fn}") for label, fn in outer]
         return joined.agg(*made)
@@ -475,8 +519,6 @@ def literal(v: object) -> str:
 
 
 def rel_columns(on: str, side: str) -> list[str]:
-    import re
-
     return list(dict.fromkeys(re.findall(rf"\b{side}\.(\w+)", on)))
 
 

@@ -110,6 +110,15 @@ def test_permissions(catalog):
     with pytest.raises(PermissionError):
         q.select("tags", ["id"])
     assert ids(q.select("categories", ["id"], {"products": {"any_of": {"id": {"gt": 0}}}})) == [1]
+    assert q.aggregate("products", [Agg("price", "max")]).first()[0] is None
+    assert [tuple(r) for r in q.buckets("products", ["price"], [Agg("_rows_count")]).collect()] == [(None, 2)]
+    with pytest.raises(PermissionError):
+        q.select("products", ["id"], order_by=("price",), limit=1)
+    catalog.grant("clerk", Permission("products", "id", disabled=True))
+    for asked in (lambda: q.aggregate("products", [Agg("id", "sum")]), lambda: q.buckets("products", ["id"]), lambda: q.select("products", ["price"], {"_and": [{"_not": {"id": {"gt": 0}}}]}),
+                  lambda: q.select("categories", ["id"], {"products": {"any_of": {"id": {"gt": 0}}}}), lambda: q.aggregate("categories", [Agg("products.id", "sum")])):
+        with pytest.raises(PermissionError):
+            asked()
 
 
 def test_json(catalog):
