@@ -41,7 +41,7 @@ NAMED = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"
 WORDS_IN_NAMES = re.compile(r"[a-z]+")
 
 # Fixed values of the HTML standard: elements by kind.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "select", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "template", "iframe", "textarea", "title", "select", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "html", "head", "body", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
@@ -79,9 +79,14 @@ class Page:
         return len(self.tag) - 1
 
     def _read(self, html: str) -> None:
+        """One pass; what is open is found by name, so that unclosed or stray tags cost no search through the open elements."""
         stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the block node each belongs to
+        places: dict[str, list[int]] = {}  # where in the stack each tag is open
+        blocks: list[int] = [0]  # where blocks are
+        firm: list[int] = [0]  # the same without paragraphs
+        unended: set[str] = set()  # raw elements that no end tag follows any more
         run: list[str] = []
-        linked, links, at, n = 0, 0, 0, len(html)
+        linked, at, last = 0, 0, html.rfind(">") + 1  # no tag ends behind ``last``
 
         def flush() -> None:
             nonlocal linked
@@ -92,59 +97,73 @@ class Page:
                 self.text[node], self.link[node] = text, min(linked, len(text))
             linked = 0
 
-        while at < n:
-            m = TOKEN.search(html, at)
-            start = m.start() if m else n
-            if start > at:
-                run.append(html[at:start])
-                if links:
-                    linked += start - at
-            if not m:
-                break
+        def add(start: int, stop: int) -> None:
+            nonlocal linked
+            if stop > start:
+                run.append(html[start:stop])
+                if places.get("a"):
+                    linked += stop - start
+
+        def push(tag: str, node: int) -> None:
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+                if tag != "p":
+                    firm.append(len(stack))
+            stack.append((tag, node))
+
+        def cut_at(k: int) -> None:
+            while len(stack) > k:
+                places[stack.pop()[0]].pop()
+            for held in (blocks, firm):
+                while held[-1] >= k:
+                    held.pop()
+
+        def top(tags: Iterable[str]) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+        while m := TOKEN.search(html, at, last):
+            add(at, m.start())
             at = m.end()
             name = m[2] or m[5]
             if not name:
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = len(html)
+                    break
                 continue
             closing, tag, rest = (m[1], m[2].lower(), m[3]) if m[2] else (m[4], m[5].lower(), m[6])
             if tag in RAW and not closing:
                 if not rest.rstrip().endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                    at = end.end() if end else (n if tag in ("script", "style") else at)
+                    end = None if tag in unended else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                    if end:
+                        at = end.end()
+                    else:
+                        unended.add(tag)
+                        at = len(html) if tag in ("script", "style") else at
                 run.append(" ")
-                continue
-            if tag in VOID or tag in RAW:
+            elif tag in VOID or tag in RAW:
                 self.tags[stack[-1][1]] += 1
                 if tag == "hr":
                     flush()
                 elif tag == "br":
                     run.append(" ")
-                continue
-            if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        if tag in BLOCK or any(t in BLOCK for t, _ in stack[k:]):
-                            flush()
-                        del stack[k:]
-                        break
-                    if tag not in BLOCK and stack[k][0] in BLOCK:  # a stray end of an inline element doesn't leave its block
-                        break
-                links = sum(t == "a" for t, _ in stack)
-                continue
-            if tag in BLOCK:
+            elif closing:
+                k = top((tag,))
+                if k and (tag in BLOCK or k > blocks[-1]):  # a stray end of an inline element doesn't leave its block
+                    if blocks[-1] >= k:
+                        flush()
+                    cut_at(k)
+            elif tag in BLOCK:
                 flush()
-                ends = CLOSED_BY_SAME.get(tag, set()) | (set() if tag in KEEPS_P else {"p"})
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ends:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SCOPES.get(tag, ()) or (stack[k][0] in BLOCK and not stack[k][0] == "p" and tag not in SCOPES):
-                        break
-                node = self._node(tag, stack[-1][1], names_of(rest))
-                stack.append((tag, node))
+                k = top(CLOSED_BY_SAME.get(tag, set()) | (set() if tag in KEEPS_P else {"p"}))
+                if k and k >= (top(SCOPES[tag]) if tag in SCOPES else firm[-1]):
+                    cut_at(k)
+                push(tag, self._node(tag, stack[-1][1], names_of(rest)))
             else:
                 self.tags[stack[-1][1]] += 1
-                stack.append((tag, stack[-1][1]))
-                links += tag == "a"
+                push(tag, stack[-1][1])
+        comment = html.find("<!--", at)
+        add(at, len(html) if comment < 0 else comment)
         flush()
 
 

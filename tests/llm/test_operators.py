@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import time
 import zlib
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +250,40 @@ def test_components_match_brute_force(spark, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
+@pytest.mark.parametrize("rows_in_batch", [1, 3, 50])
+def test_buckets_over_batches_and_ranges(rows_in_batch):
+    rng = random.Random(rows_in_batch)
+    rows = sorted((rng.randint(0, 12), rng.randint(0, 9)) for _ in range(60))
+    cuts = [0, *sorted(rng.sample(range(60), 4)), 60]
+    found, edges = set(), {}
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        parts = [rows[k : min(b, k + rows_in_batch)] for k in range(a, b, rows_in_batch)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in (0, 1)], names=["bucket", "node"]) for part in parts]
+        here = [r for out in jaccard.met_in_range(iter(batches)) for r in out.to_pylist()]
+        held = {}
+        for x, v in rows[a:b]:
+            held.setdefault(x, set()).add(v)
+        assert sorted((r["bucket"], r["node"], r["lo"]) for r in here if not r["edge"]) == sorted((x, v, min(vs)) for x, vs in held.items() if len(vs) > 1 for v in vs)
+        if held:
+            assert {(r["bucket"], r["lo"]) for r in here if r["edge"]} == {(x, min(held[x])) for x in (min(held), max(held))}
+
+
+@pytest.mark.parametrize("seeds", [1, 2, 64])
+def test_linked_sets_share_a_bucket(monkeypatch, seeds):
+    monkeypatch.setattr(jaccard, "SEEDS", seeds)
+    rng = np.random.default_rng(seeds)
+    for size in [*range(2, 40), 100, 300, 900]:
+        for _ in range(20):
+            s = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            t = np.unique(np.concatenate([s[rng.random(s.size) > 0.1], rng.integers(0, 1 << 63, rng.integers(0, max(1, size // 8) + 1)).astype(np.uint64)]))
+            same = np.intersect1d(s, t).size
+            if 100 * same >= 80 * (s.size + t.size - same) and jaccard.node_of(s) != jaccard.node_of(t):
+                assert np.intersect1d(jaccard.sketch_keys(s, 80), jaccard.sketch_keys(t, 80)).size
+    sets = [np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64)) for _ in range(60)]
+    keys = np.concatenate([jaccard.sketch_keys(s, 80) for s in sets])
+    assert np.unique(keys).size == keys.size or seeds == 1  # unrelated sets don't meet by chance
+
+
 def test_jaccard_of_odd_rows(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(odd(spark), 3, 90).collect()), key=str)
     assert got == sorted([(None, 2, None), (7, 0, 7), (8, 0, 8), (9, 0, 9), (10, 1, 10), (10, 1, 10), (11, 1, 11)], key=str)
@@ -398,6 +434,18 @@ def test_extraction_generalises_and_handles_odd_pages(spark, sf):
     assert html_extract.fit(pages.limit(0)) is None and html_extract.extract(pages.limit(0), None).count() == 0
 
 
+@pytest.mark.parametrize("html", ['<a "' * 250_000, "<b>x</i>" * 125_000, "<svg>" * 100_000, "<template>" * 100_000, "<div>" * 50_000 + "<li></li>" * 50_000, "x > " + "<!" * 300_000, "<i><div>" + "<b>x</i>" * 80_000])
+def test_hostile_pages_take_linear_time(html):
+    began = time.thread_time()
+    html_extract.Page(html)
+    assert time.thread_time() - began < 8
+
+
+def test_text_of_embedded_elements_is_read():
+    page = html_extract.Page("<p>a <svg><text>b</text></svg> <math><mi>c</mi></math> <noscript>d</noscript><select><option>x</select><script>y</script>")
+    assert [t for t in page.text if t] == ["a b c d"]
+
+
 def test_kept_nodes_have_kept_ancestors():
     page = html_extract.Page(PAGE.format(main="x"))
     rng = np.random.default_rng(1)
