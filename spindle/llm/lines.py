@@ -197,8 +197,8 @@ def removals(docs: DataFrame) -> DataFrame:
     return gone.groupBy("_o", "_tag").agg(F.collect_set("line_no").alias("_gone"))  # within one document
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines that go taken out of the text, and ``n_lines``, ``n_removed``."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with the lines that go taken out of the text, and ``n_lines``, ``n_removed`` (or ``counts``), in place of columns of these names."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     gone = cut(removals(narrow), "removals").select(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"), "_gone")
     others = [c for c in docs.columns if c != text_col]
@@ -219,4 +219,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     moved = rows.select("_row", "z", "_gone")
     out = moved.mapInArrow(run, moved.drop("z", "_gone").schema.add("_text", "string").add("n_lines", "long").add("n_removed", "long"))
-    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns], "n_lines", "n_removed")
+    own = [F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in counts]
+    return out.select(*own, F.col("n_lines").alias(counts[0]), F.col("n_removed").alias(counts[1]))

@@ -389,6 +389,13 @@ def test_lines_of_odd_rows(spark):
     assert got == sorted([(r[0], r[1], 0) for r in ODD], key=str) and lines.dedup_lines(odd(spark).limit(0)).count() == 0
 
 
+def test_lines_beside_columns_of_the_same_names(spark, sf):
+    docs = spark.createDataFrame([(1, "a b\na b", 9, 8, 7), (2, "c", 6, 5, 4)], "doc_id long, text string, n_lines int, n_removed int, n_chars long")
+    assert [tuple(r) for r in lines.dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed").orderBy("doc_id").collect()] == [(1, "a b", 2, 1), (2, "c", 1, 0)]
+    got = corpus_pipeline.line_dedup(spark, docs, sf)
+    assert got.columns == docs.columns and [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, "a b", 9, 8, 3), (2, "c", 6, 5, 4)]
+
+
 @pytest.mark.parametrize(("a", "b", "near"), [("a b c", "a b c", True), ("a b c", "a c", True), ("a b c", "a x c", True), ("a b c", "b c a", False), ("a", "b c", False), ("", "a", True)])
 def test_one_edit(a, b, near):
     assert lines.one_edit(a.split(), b.split()) is near and lines.one_edit(b.split(), a.split()) is near
