@@ -22,8 +22,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated lines; ``n_chars`` follows the text."""
-    out = lines.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    before, gone = (name + "_" * (1 + max(map(len, docs.columns))) for name in ("lines", "gone"))  # names that no column has
+    out = lines.dedup_lines(docs, counts=(before, gone)).where((F.col(gone) == 0) | (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    return out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
