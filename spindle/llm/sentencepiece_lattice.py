@@ -34,9 +34,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD_WORDS = 1 << 17  #: words whose encoding all tasks hold
 HEAD_BYTES = 64  #: largest UTF-8 size of these; a code has four bytes for each of them at most, so all together stay under 45 MB besides the objects
 LONG_WORDS, LONG_BYTES = 1000, 4096  #: the same for longer ones (under 21 MB): so few that only very frequent ones are among them
-COUNTED_WORDS, COUNTED_CHARS = 150_000, 1 << 26  #: distinct words, and characters read, after which a task hands its counts on
+COUNTED_WORDS, COUNTED_CHARS = 100_000, 1 << 25  #: distinct words, and characters read, after which a task hands its counts on
 LONG_WORD = 24  #: longer units are cut where no piece reaches across, so that texts without spaces don't become one word each
-PAIRS = 100_000  #: pairs of pieces whose standing side by side a task remembers
+PAIRS = 50_000  #: pairs of pieces whose standing side by side a task remembers
 ROWS_AT_ONCE = 1_000  #: rows that are turned into Python objects together
 FOLD_LIMIT = 1024  #: longer words without such a place are folded by the Arrow helper
 SPACE = "▁"
