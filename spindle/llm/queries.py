@@ -34,6 +34,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_back(matroska.encode(table(spark, sf_dir, "documents")))
 
 
+def media_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.packets(matroska.encode(table(spark, sf_dir, "documents")))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
     return out.select("doc_id", "n_shingles", "component_id")
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pages_language_id": pages_language_id,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_media_columns": op4_media_columns,
+        "media_packets": media_packets,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_mixing_sources": op6_mixing_sources,
         "op7_line_dedup": op7_line_dedup,
