@@ -361,14 +361,14 @@ def test_mix_in_larger_blocks(spark, monkeypatch):
 # lines ------------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows):
+def brute_lines(rows, min_words=lines.MIN_WORDS):
     first, places = {}, []
     for i, t in sorted(rows):
         for k, x in enumerate(t.split("\n")):
             w = tuple(x.encode().split())
             if w:
                 first.setdefault(w, (i, k))
-    late = {u for u in first for v in first if first[v] < first[u] and min(len(u), len(v)) >= lines.MIN_WORDS and lines.one_edit(list(v), list(u))}
+    late = {u for u in first for v in first if first[v] < first[u] and min(len(u), len(v)) >= min_words and lines.one_edit(list(v), list(u))}
     for i, t in rows:
         kept = [x for k, x in enumerate(t.split("\n")) if not x.split() or (tuple(x.encode().split()) not in late and first[tuple(x.encode().split())] == (i, k))]
         places.append((i, "\n".join(kept)))
@@ -382,6 +382,20 @@ def test_lines_match_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+@pytest.mark.parametrize("min_words", [1, 2, 4])
+def test_lines_with_a_bound_on_short_ones(spark, min_words):
+    rng = random.Random(min_words)
+    rows = [(i, "\n".join(" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(3))) for i in range(150)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=min_words).collect()}
+    assert got == brute_lines(rows, min_words)
+
+
+def test_a_template_line_with_many_numbers(spark):
+    rows = [(i, f"page {i} of the very long list of all pages that follow here") for i in range(3000)] + [(i, "the same words in each of them, ten and more, without any change") for i in range(3000, 6000)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: t for i, t in got.items() if t} == {0: rows[0][1], 3000: rows[3000][1]}
+
+
 def test_lines_of_odd_rows(spark):
     out = lines.dedup_lines(odd(spark))
     assert out.columns == [*odd(spark).columns, "n_lines", "n_removed"]
