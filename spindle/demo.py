@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindle.functions import json as J
 from spindle.functions import ranges as R
 from spindle.functions import time as X
 from spindle.model import Catalog, Context, DataObject, Field, FunctionDef, Permission, Relation
 from spindle.functions import geo, grid
 from spindle.operators import spatial
-from spindle.plans.query import Agg, Branch, Col, Query, Rel
+from spindle.plans.query import Agg, Branch, Col, Query, Rel, merged
 from spindle.streaming import subscription
 
 PRIMARY_KEYS = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",),
@@ -65,6 +66,7 @@ def build(spark: SparkSession, sf_dir: str) -> Catalog:
                            args=("status",), required_args=("least",), pk=("o_orderkey",)))
     catalog.add_function(
         FunctionDef("discounted", sql="[price] * (1 - [rate])", args=("price", "rate")),
+        FunctionDef("described", sql="to_json(named_struct('size', [size], 'brand', [brand]))", args=("size", "brand")),
         FunctionDef("steps", sql="sequence(1, greatest(1, [n] % 4))", args=("n",)),
         FunctionDef("days", sql="SELECT explode(sequence(date'[first]', date'[last]', interval [step] day)) AS day", args=("first", "last", "step"), table=True),
         FunctionDef("day_span", call=lambda s, first, last: s.sql("SELECT explode(sequence(CAST(:a AS date), CAST(:b AS date))) AS day", args={"a": first, "b": last}), table=True),
@@ -411,6 +413,52 @@ def subagg(q: Query) -> DataFrame:
     return df.withColumn("a_avg", F.round("a_avg", 6))
 
 
+@register(
+    "WITH m AS (SELECT p.p_partkey, avg(s_acctbal) AS a, count(*) AS n FROM part p JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = p.p_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal > 0 GROUP BY 1) SELECT count(*) AS _rows_count, round(avg(a), 6) AS a_avg, max(n) AS n_max FROM part p LEFT JOIN m USING (p_partkey) WHERE p_size > 10"
+)
+def subagg_m2m(q: Query) -> DataFrame:
+    inner = [Agg("s_acctbal", "avg", "a"), Agg("_rows_count", alias="n")]
+    outer = [("_rows_count", "count"), ("a", "avg"), ("n", "max")]
+    df = q.sub_aggregate("part", "suppliers", inner, outer, {"p_size": {"gt": 10}}, {"suppliers": {"s_acctbal": {"gt": 0}}})
+    return df.withColumn("a_avg", F.round("a_avg", 6))
+
+
+@register(
+    "WITH per_order AS (SELECT l_orderkey, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem GROUP BY 1), per_customer AS (SELECT o_custkey, max(quantity) AS quantity_max, sum(n) AS n_sum FROM orders LEFT JOIN per_order ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1) SELECT count(*) AS _rows_count, round(avg(quantity_max), 6) AS quantity_max_avg, max(n_sum)::BIGINT AS n_sum_max FROM customer LEFT JOIN per_customer ON o_custkey = c_custkey"
+)
+def subagg_two_levels(q: Query) -> DataFrame:
+    inner = [Agg("l_quantity", "sum", "quantity"), Agg("_rows_count", alias="n")]
+    outer = [("_rows_count", "count"), ("quantity_max", "avg"), ("n_sum", "max")]
+    df = q.sub_aggregate("customer", "orders.lines", inner, outer, child_filter={"orders": {"o_orderstatus": {"eq": "F"}}}, middle=([("quantity", "max"), ("n", "sum")],))
+    return df.withColumn("quantity_max_avg", F.round("quantity_max_avg", 6))
+
+
+@register(
+    "SELECT event_type, max(extract('hour' FROM ts))::BIGINT AS latest_hour, count(DISTINCT date_trunc('day', ts)) AS days, sum(extract('minute' FROM ts) // 15)::BIGINT AS quarters FROM events GROUP BY event_type"
+)
+def agg_extra_field(q: Query) -> DataFrame:
+    hour, day, quarter = Col("ts", extract="hour"), Col("ts", bucket="day"), Col("ts", extract="minute", divide=15)
+    return q.buckets("events", ["event_type"], [Agg("ts", "max", "latest_hour", of=hour), Agg("ts", "count", "days", of=day), Agg("ts", "sum", "quarters", of=quarter)])
+
+
+@register(
+    "SELECT extract('month' FROM day)::BIGINT AS month, count(*) AS days, min(day)::VARCHAR AS first_day FROM (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS day FROM events) GROUP BY 1"
+)
+def agg_table_function(q: Query) -> DataFrame:
+    ends = q.aggregate("events", [Agg("ts", "min", "a"), Agg("ts", "max", "b")]).first()
+    key = (Col("day", "month", extract="month"),)
+    df = q.aggregate_function("day_span", [Agg("_rows_count", alias="days"), Agg("day", "min", "first_day")], key, first=str(ends["a"].date()), last=str(ends["b"].date()))
+    return df.withColumn("first_day", F.col("first_day").cast("string"))
+
+
+@register(
+    "SELECT o_orderpriority, count(*) AS _rows_count, count(DISTINCT l_suppkey) AS suppliers, max(l_quantity) AS most FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_discount > 0.05) ON l_orderkey = o_orderkey GROUP BY 1"
+)
+def agg_joined(q: Query) -> DataFrame:
+    lines = Rel("cut_price", target="lineitem", on=(("o_orderkey", "l_orderkey"),), filter={"l_discount": {"gt": 0.05}})
+    return q.buckets("orders", ["o_orderpriority"], [Agg("_rows_count"), Agg("cut_price.l_suppkey", "count", "suppliers"), Agg("cut_price.l_quantity", "max", "most")], joins=(lines,))
+
+
 @register(
     "SELECT c_custkey, count(s_suppkey) AS n, round(max(s_acctbal), 2) AS best FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey GROUP BY c_custkey"
 )
@@ -553,6 +601,19 @@ def json_struct(q: Query) -> DataFrame:
     return df.select("event_id", F.col("props.k").alias("k"))
 
 
+@register("SELECT p_partkey, p_size::BIGINT AS size, p_brand AS brand FROM part")
+def fn_json_cast(q: Query) -> DataFrame:
+    df = q.base(q.catalog.object("part"))
+    made = J.cast_result(df, q.call("described", size="$p_size", brand="$p_brand"), "size bigint, brand string")
+    return df.select("p_partkey", made.alias("made")).select("p_partkey", "made.*")
+
+
+@register("SELECT p_partkey, p_size + 1 AS p_size, p_name AS title FROM part")
+def struct_merge(q: Query) -> DataFrame:
+    spec = merged(F.col("spec"), p_size=F.col("p_size") + 1, title=F.col("p_name"))
+    return q.base(q.catalog.object("shaped_parts")).select("p_partkey", spec.alias("spec")).select("p_partkey", "spec.p_size", "spec.title")
+
+
 @register("SELECT p_partkey, unnest(range(1, greatest(1, p_size % 4) + 1))::INT AS step FROM part")
 def fn_lateral(q: Query) -> DataFrame:
     return q.lateral(q.base(q.catalog.object("part")), "steps", "step", n="$p_size").select("p_partkey", "step")

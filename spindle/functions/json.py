@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CASTS = {"number": "double", "string": "string", "bool": "boolean", "timestamp": "timestamp", "datetime": "timestamp_ntz", "int": "bigint"}
 
@@ -68,3 +69,9 @@ def contains(col: Column, value: object, path: str = "$") -> Column:
 def to_struct(col: Column, ddl: str) -> Column:
     """Projection of JSON text to a struct."""
     return F.from_json(col, ddl)
+
+
+def cast_result(df: DataFrame, col: Column, ddl: str) -> Column:
+    """``json_cast`` of a function's result: JSON text, or any struct, list or map by way of JSON, as the declared structure."""
+    kind = df.select(col).schema[0].dataType
+    return F.from_json(col if isinstance(kind, T.StringType) else F.to_json(col), ddl)

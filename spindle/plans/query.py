@@ -51,6 +51,7 @@ class Agg:
     sep: str = ","
     distinct: bool = False
     order: str | None = None
+    of: Col | None = None  # aggregate this transform (time part or bucket, distance, ...) of the field
 
     @property
     def label(self) -> str:
@@ -399,15 +400,36 @@ class Query:
 
     # aggregates ---------------------------------------------------------------------------------------------------
 
-    def flat(self, obj: DataObject, df: DataFrame, paths: list[str]) -> DataFrame:
+    def derived(self, df: DataFrame, aggs: Iterable[Agg]) -> tuple[DataFrame, list[Agg]]:
+        """``df`` with the transforms that the aggregates ask for as columns, and the aggregates over those."""
+        made, out = {}, []
+        for a in aggs:
+            if a.of is None:
+                out.append(a)
+                continue
+            if a.of.name != a.field:
+                raise ValueError(f"{a.label}: the transform is of {a.of.name}, the aggregate of {a.field}")
+            name = next((k for k, (of, _) in made.items() if of == a.of), f"_of_{len(df.columns) + len(made)}")
+            made[name] = (a.of, self.column(a.of, df.schema))
+            out.append(replace(a, field=name, alias=a.label, of=None))
+        return df.withColumns({k: c for k, (_, c) in made.items()}), out
+
+    def joined(self, obj: DataObject, joins: tuple) -> DataObject:
+        """``obj`` with joins of the query's own as further relations."""
+        return replace(obj, relations=(*obj.relations, *[Relation(r.label, r.target, "many", tuple(r.on)) for r in joins])) if joins else obj
+
+    def flat(self, obj: DataObject, df: DataFrame, paths: list[str], joins: tuple = ()) -> DataFrame:
         """``df`` with the to-one or to-many relations that ``paths`` run through joined in as structs (to-many ones multiply the rows)."""
+        asked = {r.label: r.filter for r in joins}
         for name in dict.fromkeys(p.split(".")[0] for p in paths if "." in p):
             rel = next((r for r in obj.relations if r.name == name), None)
             if rel is None:
                 continue  # a struct column
             target = self.catalog.object(rel.target)
             inner = [p.split(".", 1)[1] for p in paths if p.startswith(f"{name}.")]
-            child = self.flat(target, self.masked(target, self.rows(target)), inner)
+            self.check_filter(target, asked.get(name))
+            own = Filter(self.catalog, self.ctx, target, lambda o, c: self.rows(o, c)).apply(self.rows(target), asked.get(name))
+            child = self.flat(target, self.masked(target, own), inner)
             child = child.select(F.struct(*child.columns).alias(name), *[F.col(t).alias(f"_k_{t}") for _, t in rel.keys])
             if rel.junction:
                 link = self.rows(self.catalog.object(rel.junction))
@@ -420,27 +442,32 @@ class Query:
             df = df.join(child, reduce(Column.__and__, [df[a] == child[k] for a, k in on]), "left").select(*[df[c] for c in keep], child[name])
         return df
 
-    def aggregate(self, name: str, aggs: list[Agg], filter: dict | None = None, order_by=(), limit=None, offset=0, distinct_on=(), args=None, similarity=None) -> DataFrame:  # noqa: A002, ANN001
-        """One row of aggregates over the selected rows."""
+    def aggregate(self, name: str, aggs: list[Agg], filter: dict | None = None, order_by=(), limit=None, offset=0, distinct_on=(), args=None, similarity=None, joins=()) -> DataFrame:  # noqa: A002, ANN001
+        """One row of aggregates over the selected rows; ``joins`` are joins of the query's own, whose fields ``label.field`` names."""
         obj = self.catalog.object(name)
         df = self.base(obj, filter, order_by, limit, offset, distinct_on, args)
         if similarity:
             df = V.nearest(df, similarity["name"], similarity["vector"], similarity.get("distance", "L2"), similarity["limit"], list(similarity.get("ties", obj.pk)))
+        obj = self.joined(obj, joins)
         self.check_paths(obj, [x for a in aggs for x in (a.field, a.order if a.order != "value" else None)])
-        df = self.flat(obj, self.masked(obj, df), [a.field for a in aggs])
+        df = self.flat(obj, self.masked(obj, df), [a.field for a in aggs], joins)
+        df, aggs = self.derived(df, aggs)
         return df.agg(*[agg_column(a, df.schema).alias(a.label) for a in aggs])
 
     def buckets(self, name: str, key: list, aggs: list[Agg] | None = None, branches: list[Branch] | None = None, filter: dict | None = None,  # noqa: A002
-                order_by=(), limit=None, offset=0, args=None) -> DataFrame:  # fmt: skip  # noqa: ANN001
+                order_by=(), limit=None, offset=0, args=None, joins=()) -> DataFrame:  # fmt: skip  # noqa: ANN001
         """Aggregates by key.  Branches with filters of their own share one pass; a key that no branch selects does not appear."""
-        obj = self.catalog.object(name)
+        obj = self.joined(self.catalog.object(name), joins)
         key = [Col(k) if isinstance(k, str) else k for k in key]
         branches = branches or ([Branch(tuple(aggs))] if aggs else [])
         self.check_paths(obj, [k.name for k in key] + [x for b in branches for a in b.aggs for x in (a.field, a.order if a.order != "value" else None)])
         for b in branches:
             self.check_filter(obj, b.filter)
         df = self.masked(obj, self.base(obj, filter, args=args))
-        df = self.flat(obj, df, [k.name for k in key] + [a.field for b in branches for a in b.aggs])
+        df = self.flat(obj, df, [k.name for k in key] + [a.field for b in branches for a in b.aggs], joins)
+        df, aggs = self.derived(df, [a for b in branches for a in b.aggs])
+        left = iter(aggs)
+        branches = [replace(b, aggs=tuple(next(left) for _ in b.aggs)) for b in branches]
         own = [(self.column(k, df.schema) if "." not in k.name else F.col(k.name)).alias(k.label) for k in key]
         if not branches:
             out = df.select(*own).distinct()
@@ -458,23 +485,56 @@ class Query:
             out = out.orderBy(*sort_columns(order_by))
         return limited(out, limit, offset)
 
-    def sub_aggregate(self, name: str, relation: str, inner: list[Agg], outer: list[tuple[str, str]], filter: dict | None = None) -> DataFrame:  # noqa: A002
-        """Aggregates of each parent's aggregates: ``outer`` pairs an inner label with a function; ``_rows_count`` counts parents."""
-        obj = self.catalog.object(name)
-        rel = obj.relation(relation)
-        parents = self.base(obj, filter)
+    def per_parent(self, obj: DataObject, path: str, inner: list[Agg], middle: tuple, filters: dict) -> tuple[DataFrame, list[tuple[str, str]]]:
+        """Aggregates of the related rows at ``path``, one row for each parent key ``_k0``, ...; and the pairs of parent field and key."""
+        name, _, rest = path.partition(".")
+        rel = obj.relation(name)
         target = self.catalog.object(rel.target)
-        self.check_paths(obj, [relation])
-        self.check_paths(target, [x for a in inner for x in (a.field, a.order if a.order != "value" else None)])
-        child = self.rows(target)
+        self.check_paths(obj, [name])
+        child = self.base(target, filters.get(name))
         for _, t in rel.keys:
             child = child.withColumn(f"_key_{t}", F.col(t))
         child = self.masked(target, child)
-        per = child.groupBy(*[F.col(f"_key_{t}").alias(f"_k{k}") for k, (_, t) in enumerate(rel.keys)]).agg(*[agg_column(a, child.schema).alias(a.label) for a in inner])
-        joined = parents.join(per, reduce(Column.__and__, [parents[a] == per[f"_k{k}"] for k, (a, _) in enumerate(rel.keys)]), "left")
+        if rest:
+            lower, on = self.per_parent(target, rest, inner, middle[1:], filters)
+            child = child.join(lower, reduce(Column.__and__, [child[a] == lower[k] for a, k in on]), "left").drop(*[k for _, k in on])
+            aggs = [Agg(label, fn, label if label == "_rows_count" else f"{label}_{fn}") for label, fn in middle[0]]
+        else:
+            self.check_paths(target, [x for a in inner for x in (a.field, a.order if a.order != "value" else None)])
+            child, aggs = self.derived(child, inner)
+        if rel.junction:
+            link = self.rows(self.catalog.object(rel.junction))
+            link = link.select(*[F.col(j).alias(f"_l_{j}") for _, j in rel.junction_keys], *[F.col(j).alias(f"_j_{j}") for j, _ in rel.keys])
+            child = link.join(child, reduce(Column.__and__, [F.col(f"_j_{j}") == F.col(f"_key_{t}") for j, t in rel.keys]))
+            on = [(a, f"_l_{j}") for a, j in rel.junction_keys]
+        else:
+            on = [(a, f"_key_{t}") for a, t in rel.keys]
+        per = child.groupBy(*[F.col(k).alias(f"_k{n}") for n, (_, k) in enumerate(on)]).agg(*[agg_column(a, child.schema).alias(a.label) for a in aggs])
+        return per, [(a, f"_k{n}") for n, (a, _) in enumerate(on)]
+
+    def sub_aggregate(self, name: str, relation: str, inner: list[Agg], outer: list[tuple[str, str]], filter: dict | None = None,  # noqa: A002
+                      child_filter: dict | None = None, middle: tuple = ()) -> DataFrame:
+        """Aggregates of each parent's aggregates: ``outer`` pairs an inner label with a function; ``_rows_count`` counts parents.
+
+        ``relation`` may be of any kind, or a path: ``middle`` then has the pairs for each relation of it but the last, from the first on.
+        ``child_filter`` has a filter for related rows by the relation's name.
+        """
+        if len(middle) != relation.count("."):
+            raise ValueError(f"{relation}: one list of pairs is needed for each relation but the last")
+        obj = self.catalog.object(name)
+        parents = self.base(obj, filter)
+        per, on = self.per_parent(obj, relation, inner, tuple(middle), child_filter or {})
+        joined = parents.join(per, reduce(Column.__and__, [parents[a] == per[k] for a, k in on]), "left")
         made = [agg_column(Agg(label, fn), joined.schema).alias(label if label == "_rows_count" else f"{label}_{fn}") for label, fn in outer]
         return joined.agg(*made)
 
+    def aggregate_function(self, name: str, aggs: list[Agg], key: tuple = (), **values) -> DataFrame:  # noqa: ANN003
+        """Aggregates (by ``key``, if given) of the rows of a table function."""
+        df, aggs = self.derived(self.table_function(name, **values), aggs)
+        made = [agg_column(a, df.schema).alias(a.label) for a in aggs]
+        key = [Col(k) if isinstance(k, str) else k for k in key]
+        return df.groupBy(*[self.column(k, df.schema).alias(k.label) for k in key]).agg(*made)
+
     # functions ----------------------------------------------------------------------------------------------------
 
     def call(self, name: str, **values) -> Column:  # noqa: ANN003
@@ -518,6 +578,13 @@ def literal(v: object) -> str:
     return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def merged(col: Column, **fields: Column) -> Column:
+    """The struct with these fields set or added; NULL stays NULL."""
+    for name, value in fields.items():
+        col = col.withField(name, value)
+    return col
+
+
 def rel_columns(on: str, side: str) -> list[str]:
     return list(dict.fromkeys(re.findall(rf"\b{side}\.(\w+)", on)))
 

@@ -247,3 +247,23 @@ def test_streams(spark, tmp_path):
     subscription.subscribe({"a": lambda: spark.range(2), "b": lambda: spark.range(3)}, lambda p, k, df: seen.append((p, k, df.count())), count=2)
     assert sorted(seen) == [("a", 1, 2), ("a", 2, 2), ("b", 1, 3), ("b", 2, 3)]
     assert [len(b) for b in subscription.batches(spark.range(5), 2)] == [2, 2, 1]
+
+
+def test_aggregates_of_transforms_keep_permissions(catalog):
+    catalog.grant("guest", Permission("products", "tags", disabled=True))
+    agg = Agg("tags", "max", "k", of=Col("tags", path="k", kind="number"))
+    assert Query(catalog).aggregate("products", [agg]).first()["k"] == 1.0
+    with pytest.raises(PermissionError):
+        Query(catalog, Context(role="guest")).aggregate("products", [agg])
+    with pytest.raises(ValueError):
+        Query(catalog).aggregate("products", [Agg("id", "max", of=Col("tags", path="k"))])
+
+
+def test_sub_aggregate_needs_pairs_for_each_level(catalog):
+    with pytest.raises(ValueError):
+        Query(catalog).sub_aggregate("products", "category", [Agg("id")], [("_rows_count", "count")], middle=([("a", "max")],))
+
+
+def test_json_cast_of_structures(spark):
+    df = spark.range(2).select("id", F.array(F.struct(F.col("id").alias("k"))).alias("v"))
+    assert [r[0] for r in df.select(J.cast_result(df, F.col("v"), "array<struct<k string>>")[0]["k"]).collect()] == ["0", "1"]
