@@ -22,13 +22,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import cut, drop, order_id, packed, partitions, row_key, unpacked
+from spindle.llm.common import cut, drop, packed, partitions, tag, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD_WORDS = 1 << 17  #: words whose encoding all tasks hold
@@ -36,7 +37,8 @@ HEAD_BYTES = 64  #: largest UTF-8 size of these; a code has four bytes for each
 LONG_WORDS, LONG_BYTES = 1000, 4096  #: the same for longer ones (under 21 MB): so few that only very frequent ones are among them
 COUNTED_WORDS, COUNTED_CHARS = 100_000, 1 << 25  #: distinct words, and characters read, after which a task hands its counts on
 LONG_WORD = 24  #: longer units are cut where no piece reaches across, so that texts without spaces don't become one word each
-PAIRS = 50_000  #: pairs of pieces whose standing side by side a task remembers
+PAIRS = 100_000  #: pairs of pieces whose standing side by side a task remembers
+CHUNKS, CHUNK_CHARS = 100_000, 64  #: what stands between two spaces is cut once and remembered: so many, of so many characters at most
 ROWS_AT_ONCE = 1_000  #: rows that are turned into Python objects together
 FOLD_LIMIT = 1024  #: longer words without such a place are folded by the Arrow helper
 SPACE = "▁"
@@ -56,7 +58,7 @@ class Pieces:
         self.pairs = {p[k : k + 2] for _, p, _ in rows for k in range(len(p) - 1)}
         self.unit = re.compile(self.unit_pattern())
         self.spines: dict[int, tuple[list, list]] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
 
     def unit_pattern(self) -> str:
         """How a text is cut into units: leading spaces belong to the word after them; a line feed has no piece and stands alone.
@@ -116,7 +118,7 @@ class Pieces:
         """
         if not self.merged or a < 0 or b < 0:
             return True
-        key = (a, b)
+        key = a << 32 | b
         if key not in self.beside:
             if len(self.beside) > PAIRS:
                 self.beside.clear()
@@ -155,32 +157,44 @@ class Pieces:
                 at += len(self.text[piece])
         return out
 
-    def alive(self, starts: list[int], ends: list[int], ids: list[int]) -> tuple[list[int], list[list[int]]]:
-        """The edges (ordered by end) that lie on an allowed path through the word, and for each of them the ones before it, by their
-        numbers among those; -1 stands for the start of the word."""
-        by_end: dict[int, list[int]] = {}
-        beside, allowed = self.beside, self.allowed
-        before: list[list[int]] = []
-        for k, s in enumerate(starts):
-            piece, own = ids[k], []
-            if s == 0:
-                own.append(-1)
-            else:
-                for j in by_end.get(s, ()):
-                    ok = beside.get((ids[j], piece))
-                    if allowed(ids[j], piece) if ok is None else ok:
-                        own.append(j)
-            before.append(own)
-            if own:  # else nothing leads here: no later edge need look at it
-                by_end.setdefault(ends[k], []).append(k)
-        wanted, size = set(by_end.get(ends[-1], ())), ends[-1]
-        for k in range(len(starts) - 1, -1, -1):
-            if k in wanted and (starts[k] or ends[k] != size):
-                wanted.update(before[k])
-        wanted.discard(-1)
-        kept = sorted(wanted)
-        number = {-1: -1} | {k: i for i, k in enumerate(kept)}
-        return kept, [[number[j] for j in before[k]] for k in kept]
+    def verdicts(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """``allowed`` for many pairs of pieces at once."""
+        if not self.merged:
+            return np.ones(len(before), dtype=bool)
+        keys, place = np.unique(np.where((before < 0) | (after < 0), -1, before.astype(np.int64) << 32 | after), return_inverse=True)
+        known = self.beside.get
+        found = (key < 0 or (self.allowed(key >> 32, key & 0xFFFFFFFF) if (ok := known(key)) is None else ok) for key in keys.tolist())
+        return np.fromiter(found, dtype=bool, count=len(keys))[place]
+
+    def alive(self, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What is left of the lattices of some words: the edges on allowed paths (their numbers, and where each word's begin among them), and
+        the edges before each (numbers within the word, -1 for its start, and where each edge's begin).
+
+        The edges of word ``w`` are those from ``first[w]`` up to ``first[w + 1]``, ordered by end.
+        """
+        sizes, m = np.diff(first), len(ids)
+        length = ends[first[1:] - 1].astype(np.int64)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        base = np.concatenate([[0], np.cumsum(length + 1)])[word]  # places of all words one after the other
+        low, high = (np.searchsorted(base + ends, base + starts, side) for side in ("left", "right"))
+        n = high - low
+        after = np.repeat(np.arange(m), n)
+        before = np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(after))
+        ok = self.verdicts(ids[before], ids[after])
+        opens, closes = starts == 0, ends == length[word]
+        while True:
+            before, after = before[ok], after[ok]
+            kept = (opens | (np.bincount(after, minlength=m) > 0)) & (closes | (np.bincount(before, minlength=m) > 0))
+            ok = kept[before] & kept[after]
+            if ok.all():
+                break
+        number = np.cumsum(kept) - 1
+        begin = np.concatenate([[0], np.cumsum(kept)])[first]
+        heads = np.flatnonzero(kept & opens)
+        order = np.argsort(np.concatenate([after, heads]), kind="stable")
+        own = np.concatenate([number[before] - begin[word[before]], np.full(len(heads), -1)])[order]
+        each = np.bincount(np.concatenate([number[after], number[heads]]), minlength=int(begin[-1]))
+        return np.flatnonzero(kept), begin, own, np.concatenate([[0], np.cumsum(each)])
 
     def code(self, word: str, path: list[int]) -> bytes:
         """The ids of a path as 32-bit integers."""
@@ -202,13 +216,40 @@ def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS_AT_ONCE)
 
 
+class Chunks(dict):
+    """What stands between two spaces, and the words it is cut into (or, with ``frequent``, its code if that holds all of them)."""
+
+    def __init__(self, pieces: Pieces, frequent: dict[str, bytes] | None = None):
+        super().__init__()
+        self.pieces, self.frequent = pieces, frequent
+
+    def __missing__(self, chunk: str) -> tuple[str, ...] | bytes:
+        out = self.coded(self.pieces.words(chunk))
+        if len(chunk) <= CHUNK_CHARS:
+            if len(self) >= CHUNKS:
+                self.clear()
+            self[chunk] = out
+        return out
+
+    def coded(self, words: list[str]) -> tuple[str, ...] | bytes:
+        codes = [None] if self.frequent is None else list(map(self.frequent.get, words))
+        return tuple(words) if None in codes else b"".join(codes)
+
+    def of(self, text: str) -> list[tuple[str, ...] | bytes]:
+        """The text, part by part.  Words end before a space unless spaces meet; a U+2581 of the text is left to the general way."""
+        chunks = text.split(" ")
+        if "" in chunks or SPACE in text:
+            return [self.coded(self.pieces.words(text))]
+        return [self[chunk] for chunk in chunks]
+
+
 def counted_words(docs: DataFrame, pieces: Pieces, text_col: str) -> DataFrame:
     """``(word, n)`` of all words of all texts; tasks add up their own first."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        words, chars = shared.value.words, 0
+        chunks, chars = Chunks(shared.value), 0
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -218,7 +259,7 @@ def counted_words(docs: DataFrame, pieces: Pieces, text_col: str) -> DataFrame:
         for batch in batches:
             for t in batch.column(0):
                 text = t.as_py()
-                counts.update(words(text))
+                counts.update(chain.from_iterable(chunks.of(text)))
                 chars += len(text)
                 if len(counts) > COUNTED_WORDS or chars > COUNTED_CHARS:
                     yield out()
@@ -254,24 +295,15 @@ def viterbi(grid: DataFrame, pieces: Pieces) -> DataFrame:
     shared = grid.sparkSession.sparkContext.broadcast(pieces)
 
     def followed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(at, ROWS_AT_ONCE)
-                edges = batch.column(2)
-                first = edges.offsets.to_numpy()
-                all_edges = edges.values.slice(first[0], first[-1] - first[0])
-                starts, ends, ids = (all_edges.field(k).to_pylist() for k in (1, 0, 2))
-                places, before, sizes = [], [], []
-                first = (first - first[0]).tolist()
-                for a, b in zip(first, first[1:], strict=False):
-                    kept, own = shared.value.alive(starts[a:b], ends[a:b], ids[a:b])
-                    places += [a + k for k in kept]
-                    before += own
-                    sizes.append(len(kept))
-                limits = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                inner = pa.array(before, pa.list_(pa.int32()))
-                lists = [pa.ListArray.from_arrays(limits, x) for x in (all_edges.take(pa.array(places, pa.int32())), inner)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["word", "n", "edges", "before"])
+        for batch in sliced(batches):
+            edges = batch.column(2)
+            first = edges.offsets.to_numpy().astype(np.int64)
+            all_edges = edges.values.slice(first[0], first[-1] - first[0])
+            ends, starts, ids = (all_edges.field(k).to_numpy() for k in range(3))
+            places, begin, before, each = shared.value.alive(first - first[0], starts, ends, ids)
+            inner = pa.ListArray.from_arrays(pa.array(each.astype(np.int32)), pa.array(before.astype(np.int32)))
+            lists = [pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), x) for x in (all_edges.take(pa.array(places)), inner)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["word", "n", "edges", "before"])
 
     forward = F.expr(
         """aggregate(sequence(0, size(edges) - 1), cast(array() as array<struct<total: double, back: int>>), (acc, k) ->
@@ -354,41 +386,45 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
         words, paths = part.column(0).to_pylist(), part.column(1).to_pylist()
         frequent.update(zip(words, map(pieces.code, words, paths), strict=True))
     shared = spark.sparkContext.broadcast((pieces, frequent))
-    rows = row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).withColumn("_o", order_id())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("_k", tag("doc_id"))
+
+    def rare_words(parts: list) -> list[str]:
+        """The words that the dictionary lacks, in the order in which they come."""
+        return list(dict.fromkeys(w for part in parts if type(part) is tuple for w in part if w not in shared.value[1]))
 
     def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, frequent = shared.value
+        chunks = Chunks(*shared.value)
         for batch in sliced(batches):
-            out: tuple[list, list, list] = ([], [], [])
-            for o, tag, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = set(own.words(t.as_py())).difference(frequent)
-                for column, values in zip(out, ([o] * len(found), [tag] * len(found), found), strict=True):
-                    column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["_o", "_tag", "word"])
+            found = [rare_words(chunks.of(t.as_py())) for t in batch.column(1)]
+            sizes = list(map(len, found))
+            keys = np.repeat(batch.column(0).to_numpy(), sizes)
+            places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(places), pa.array(chain.from_iterable(found), pa.string())], names=["_k", "j", "word"])
 
-    full = rows.where("text <> ''")
-    others = full.select("_o", "_tag", "text").mapInArrow(rare, "_o long, _tag long, word string")  # rows repeated as a whole give words twice
-    others = others.join(known.select("word", "path"), "word").groupBy(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"))
-    others = others.agg(F.collect_list(F.struct("word", "path")).alias("_rare"))  # within one document
+    others = rows.where("text <> ''").select("_k", "text").mapInArrow(rare, "_k long, j int, word string")
+    others = others.join(known.select("word", "path"), "word").groupBy(F.col("_k").alias("_k2"))
+    others = cut(others.agg(F.collect_set(F.struct("j", "path")).alias("_rare")), "rare")  # within one document; a row that repeats adds nothing
+    drop(known)
 
-    whole = packed(rows.select("_o", "_tag", "doc_id", "text"))
-    joined = whole.join(others.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")), "left")  # neither side has a bound
+    whole = packed(rows.select("_k", "doc_id", "text"))
+    joined = whole.join(others.hint("merge"), F.col("_k") == F.col("_k2"), "left")  # neither side has a bound
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, frequent = shared.value
+        chunks = Chunks(own, frequent)
         for batch in sliced(batches):
             codes: list[bytes | None] = []
-            for z, rare_words in zip(batch.column(1), batch.column(2), strict=True):
+            for z, found in zip(batch.column(1), batch.column(2), strict=True):
                 text = unpacked(z.as_py())
                 if not text:
                     codes.append(None if text is None else b"")
                     continue
-                words = own.words(text)
-                found = list(map(frequent.get, words))
-                if None in found:
-                    local = {r["word"]: own.code(r["word"], r["path"]) for r in rare_words.as_py()}
-                    found = [local[w] if c is None else c for w, c in zip(words, found, strict=True)]
-                codes.append(b"".join(found))
+                parts = chunks.of(text)
+                if found.is_valid:
+                    paths = {r["j"]: r["path"] for r in found.as_py()}
+                    local = {w: own.code(w, paths[j]) for j, w in enumerate(rare_words(parts))}
+                    parts = [b"".join(local[w] if w in local else frequent[w] for w in part) if type(part) is tuple else part for part in parts]
+                codes.append(b"".join(parts))
             ends = np.concatenate([[0], np.cumsum([len(c or b"") // 4 for c in codes])]).astype(np.int32)
             flat = np.frombuffer(b"".join(c or b"" for c in codes), dtype=np.uint32).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([c is None for c in codes]))
