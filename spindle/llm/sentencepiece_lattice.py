@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -38,7 +39,8 @@ LONG_WORDS, LONG_BYTES = 1000, 4096  #: the same for longer ones (under 21 MB):
 COUNTED_WORDS, COUNTED_CHARS = 100_000, 1 << 25  #: distinct words, and characters read, after which a task hands its counts on
 LONG_WORD = 24  #: longer units are cut where no piece reaches across, so that texts without spaces don't become one word each
 PAIRS = 100_000  #: pairs of pieces whose standing side by side a task remembers
-CHUNKS, CHUNK_CHARS = 100_000, 64  #: what stands between two spaces is cut once and remembered: so many, of so many characters at most
+CHUNKS, CHUNK_CHARS = 60_000, 64  #: what stands between two spaces is coded once and remembered: so many, of so many characters at most
+SEEN = 20_000  #: rows whose keys a task remembers, so that repeated ones are left out
 ROWS_AT_ONCE = 1_000  #: rows that are turned into Python objects together
 FOLD_LIMIT = 1024  #: longer words without such a place are folded by the Arrow helper
 SPACE = "▁"
@@ -200,14 +202,30 @@ class Pieces:
         """The ids of a path as 32-bit integers."""
         return np.array(self.ids(word, path), dtype=np.uint32).tobytes()
 
-    def decode(self, ids: list[int]) -> str:
-        raw = bytearray()
-        for i in ids:
-            if self.first_byte <= i < self.first_byte + 256:
-                raw.append(i - self.first_byte)
-            else:
-                raw += self.text[i].replace(SPACE, " ").encode("utf-8")
-        return bytes(raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
+    def raw(self) -> list[bytes]:
+        """The bytes that each id stands for."""
+        out = [b""] * (1 + max([self.first_byte + 255, *self.text]))
+        for i, piece in self.text.items():
+            out[i] = piece.replace(SPACE, " ").encode("utf-8")
+        out[self.first_byte : self.first_byte + 256] = [bytes([b]) for b in range(256)]
+        return out
+
+
+def decoded(ids: np.ndarray, raw: list[bytes]) -> str:
+    out = b"".join(map(raw.__getitem__, ids.tolist()))
+    return (out[1:] if out[:1] == b" " else out).decode("utf-8", "surrogatepass")
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Steps that are run inside move ``ROWS_AT_ONCE`` rows at once between the JVM and Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ROWS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,31 +234,43 @@ def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS_AT_ONCE)
 
 
-class Chunks(dict):
-    """What stands between two spaces, and the words it is cut into (or, with ``frequent``, its code if that holds all of them)."""
+def chunks_of(text: str) -> list[str] | None:
+    """What stands between the spaces of a text.  Words end before a space unless spaces meet; such texts and those with a U+2581 have none."""
+    chunks = text.split(" ")
+    return None if "" in chunks or SPACE in text else chunks
+
 
-    def __init__(self, pieces: Pieces, frequent: dict[str, bytes] | None = None):
+class Coder(dict):
+    """What stands between two spaces, and its code if ``frequent`` has all its words."""
+
+    def __init__(self, pieces: Pieces, frequent: dict[str, bytes]):
         super().__init__()
-        self.pieces, self.frequent = pieces, frequent
+        self.pieces, self.frequent, self.missed = pieces, frequent, 0
 
     def __missing__(self, chunk: str) -> tuple[str, ...] | bytes:
         out = self.coded(self.pieces.words(chunk))
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self) >= CHUNKS:
-                self.clear()
-            self[chunk] = out
+        if type(out) is bytes and len(chunk) <= CHUNK_CHARS:
+            if len(self) < CHUNKS:
+                self[chunk] = out
+            else:
+                self.missed += 1
+                if self.missed >= CHUNKS:
+                    self.clear()
+                    self.missed = 0
         return out
 
     def coded(self, words: list[str]) -> tuple[str, ...] | bytes:
-        codes = [None] if self.frequent is None else list(map(self.frequent.get, words))
+        codes = list(map(self.frequent.get, words))
         return tuple(words) if None in codes else b"".join(codes)
 
-    def of(self, text: str) -> list[tuple[str, ...] | bytes]:
-        """The text, part by part.  Words end before a space unless spaces meet; a U+2581 of the text is left to the general way."""
-        chunks = text.split(" ")
-        if "" in chunks or SPACE in text:
-            return [self.coded(self.pieces.words(text))]
-        return [self[chunk] for chunk in chunks]
+    def parts(self, text: str) -> list[tuple[str, ...] | bytes]:
+        """The text, part by part: codes, and words where one is missing in the dictionary."""
+        chunks = chunks_of(text)
+        return [self.coded(self.pieces.words(text))] if chunks is None else list(map(self.__getitem__, chunks))
+
+    def rare(self, parts: Iterable[tuple[str, ...] | bytes]) -> list[str]:
+        """The words that the dictionary lacks, in the order in which they come."""
+        return list(dict.fromkeys(w for part in parts if type(part) is tuple for w in part if w not in self.frequent))
 
 
 def counted_words(docs: DataFrame, pieces: Pieces, text_col: str) -> DataFrame:
@@ -248,20 +278,28 @@ def counted_words(docs: DataFrame, pieces: Pieces, text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        chunks, chars = Chunks(shared.value), 0
+        counts, chunks, chars = Counter(), Counter(), 0
+        words = shared.value.words
 
         def out() -> pa.RecordBatch:
+            for chunk, n in chunks.items():  # each is cut once
+                for word in words(chunk):
+                    counts[word] += n
             batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
             counts.clear()
+            chunks.clear()
             return batch
 
         for batch in batches:
             for t in batch.column(0):
                 text = t.as_py()
-                counts.update(chain.from_iterable(chunks.of(text)))
+                found = chunks_of(text)
+                if found is None:
+                    counts.update(words(text))
+                else:
+                    chunks.update(found)
                 chars += len(text)
-                if len(counts) > COUNTED_WORDS or chars > COUNTED_CHARS:
+                if len(counts) + len(chunks) > COUNTED_WORDS or chars > COUNTED_CHARS:
                     yield out()
                     chars = 0
         yield out()
@@ -362,11 +400,12 @@ def best_path(word: str, pieces: Pieces) -> list[int]:
 
 def word_paths(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
     """``(word, n, path)`` for every distinct word of the corpus."""
-    counts = cut(counted_words(docs, pieces, text_col), "counts")
-    drop()
-    words = counts.repartition(partitions(docs.sparkSession), "word")
-    short = viterbi(lattice(words.where(F.length("word") <= FOLD_LIMIT), pieces), pieces)
-    known = cut(short.unionByName(long_paths(counts.where(F.length("word") > FOLD_LIMIT), pieces)), "words")
+    with small_batches(docs.sparkSession):
+        counts = cut(counted_words(docs, pieces, text_col), "counts")
+        drop()
+        words = counts.repartition(partitions(docs.sparkSession), "word")
+        short = viterbi(lattice(words.where(F.length("word") <= FOLD_LIMIT), pieces), pieces)
+        known = cut(short.unionByName(long_paths(counts.where(F.length("word") > FOLD_LIMIT), pieces)), "words")
     drop(counts)
     return known
 
@@ -388,22 +427,24 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     shared = spark.sparkContext.broadcast((pieces, frequent))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("_k", tag("doc_id"))
 
-    def rare_words(parts: list) -> list[str]:
-        """The words that the dictionary lacks, in the order in which they come."""
-        return list(dict.fromkeys(w for part in parts if type(part) is tuple for w in part if w not in shared.value[1]))
-
     def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(*shared.value)
+        coder, seen = Coder(*shared.value), set()
         for batch in sliced(batches):
-            found = [rare_words(chunks.of(t.as_py())) for t in batch.column(1)]
+            keys, found = [], []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if key not in seen:  # most repetitions of a whole row end here
+                    keys.append(key)
+                    found.append(coder.rare(map(coder.__getitem__, dict.fromkeys(chunks))) if (chunks := chunks_of(t.as_py())) else coder.rare(coder.parts(t.as_py())))
+            seen = seen | set(keys) if len(seen) < SEEN else set(keys)
             sizes = list(map(len, found))
-            keys = np.repeat(batch.column(0).to_numpy(), sizes)
-            places = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(places), pa.array(chain.from_iterable(found), pa.string())], names=["_k", "j", "word"])
+            places = [j for n in sizes for j in range(n)]
+            columns = [pa.array(np.repeat(np.array(keys, dtype=np.int64), sizes)), pa.array(places, pa.int32()), pa.array(chain.from_iterable(found), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_k", "j", "word"])
 
     others = rows.where("text <> ''").select("_k", "text").mapInArrow(rare, "_k long, j int, word string")
-    others = others.join(known.select("word", "path"), "word").groupBy(F.col("_k").alias("_k2"))
-    others = cut(others.agg(F.collect_set(F.struct("j", "path")).alias("_rare")), "rare")  # within one document; a row that repeats adds nothing
+    others = others.join(known.select("word", "path"), "word").select(F.col("_k").alias("_k2"), "j", "path").repartition(partitions(spark), "_k2")
+    with small_batches(spark):
+        others = cut(others.groupBy("_k2").agg(F.collect_set(F.struct("j", "path")).alias("_rare")), "rare")  # within one document
     drop(known)
 
     whole = packed(rows.select("_k", "doc_id", "text"))
@@ -411,7 +452,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, frequent = shared.value
-        chunks = Chunks(own, frequent)
+        coder = Coder(own, frequent)
         for batch in sliced(batches):
             codes: list[bytes | None] = []
             for z, found in zip(batch.column(1), batch.column(2), strict=True):
@@ -419,10 +460,10 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
                 if not text:
                     codes.append(None if text is None else b"")
                     continue
-                parts = chunks.of(text)
+                parts = coder.parts(text)
                 if found.is_valid:
                     paths = {r["j"]: r["path"] for r in found.as_py()}
-                    local = {w: own.code(w, paths[j]) for j, w in enumerate(rare_words(parts))}
+                    local = {w: own.code(w, paths[j]) for j, w in enumerate(coder.rare(parts))}
                     parts = [b"".join(local[w] if w in local else frequent[w] for w in part) if type(part) is tuple else part for part in parts]
                 codes.append(b"".join(parts))
             ends = np.concatenate([[0], np.cumsum([len(c or b"") // 4 for c in codes])]).astype(np.int32)
@@ -441,8 +482,10 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids
     names = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = shared.value.raw()
         for batch in sliced(batches):
-            texts = [shared.value.decode(ids.as_py()) if ids.is_valid else None for ids in batch.column(names.index(ids_col))]
+            column = batch.column(names.index(ids_col))
+            texts = [decoded(ids.values.to_numpy(), raw) if ids.is_valid else None for ids in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     return encoded.drop("text").mapInArrow(run, schema)
