@@ -27,16 +27,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import cut, drop, packed, partitions, tag, unpacked
+from spindle.llm.common import cut, drop, order_id, packed, partitions, row_key, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD_WORDS = 1 << 17  #: words whose encoding all tasks hold
 HEAD_BYTES = 64  #: largest UTF-8 size of these; a code has four bytes for each of them at most, so all together stay under 45 MB besides the objects
 LONG_WORDS, LONG_BYTES = 1000, 4096  #: the same for longer ones (under 21 MB): so few that only very frequent ones are among them
-COUNTED_WORDS, COUNTED_CHARS = 100_000, 1 << 25  #: distinct words, and characters read, after which a task hands its counts on
+COUNTED_WORDS, COUNTED_CHARS = 60_000, 1 << 25  #: distinct words, and characters read, after which a task hands its counts on
 LONG_WORD = 24  #: longer units are cut where no piece reaches across, so that texts without spaces don't become one word each
 PAIRS = 100_000  #: pairs of pieces whose standing side by side a task remembers
 CHUNKS, CHUNK_CHARS = 60_000, 64  #: what stands between two spaces is coded once and remembered: so many, of so many characters at most
@@ -61,6 +62,16 @@ class Pieces:
         self.unit = re.compile(self.unit_pattern())
         self.spines: dict[int, tuple[list, list]] = {}
         self.beside: dict[int, bool] = {}
+        self.sent: tuple | None = None
+
+    def everywhere(self, spark: SparkSession) -> Broadcast:
+        """These pieces on all executors, sent once a context."""
+        if self.sent is None or self.sent[0] is not spark.sparkContext:
+            self.sent = (spark.sparkContext, spark.sparkContext.broadcast(self))
+        return self.sent[1]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rows": [], "spines": {}, "beside": {}, "sent": None}  # tasks don't need the table, and remember their own
 
     def unit_pattern(self) -> str:
         """How a text is cut into units: leading spaces belong to the word after them; a line feed has no piece and stands alone.
@@ -98,7 +109,7 @@ class Pieces:
                 if best is None:
                     break
                 k = -best[1]
-                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+                symbols[k : k + 2] = [self.text[self.id[symbols[k] + symbols[k + 1]]]]
                 if symbols[0] != ends[0]:
                     left.append((ends[0], best[0]))
                 if symbols[-1] != ends[1]:
@@ -275,7 +286,7 @@ class Coder(dict):
 
 def counted_words(docs: DataFrame, pieces: Pieces, text_col: str) -> DataFrame:
     """``(word, n)`` of all words of all texts; tasks add up their own first."""
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    shared = pieces.everywhere(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, chunks, chars = Counter(), Counter(), 0
@@ -330,7 +341,7 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 def viterbi(grid: DataFrame, pieces: Pieces) -> DataFrame:
     """``(word, n, path)``: the best allowed path through each lattice, by two folds over its edges."""
-    shared = grid.sparkSession.sparkContext.broadcast(pieces)
+    shared = pieces.everywhere(grid.sparkSession)
 
     def followed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -365,7 +376,7 @@ def viterbi(grid: DataFrame, pieces: Pieces) -> DataFrame:
 
 def long_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
     """The same recursion for words beyond ``FOLD_LIMIT``, where a fold that copies its state would be quadratic."""
-    shared = words.sparkSession.sparkContext.broadcast(pieces)
+    shared = pieces.everywhere(words.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,34 +435,41 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     for part in head_words(known).toArrow().to_batches(max_chunksize=50_000):
         words, paths = part.column(0).to_pylist(), part.column(1).to_pylist()
         frequent.update(zip(words, map(pieces.code, words, paths), strict=True))
-    shared = spark.sparkContext.broadcast((pieces, frequent))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("_k", tag("doc_id"))
+    shared, head = pieces.everywhere(spark), spark.sparkContext.broadcast(frequent)
+    rows = row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).withColumn("_o", order_id())
 
     def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, seen = Coder(*shared.value), set()
+        coder, seen = Coder(shared.value, head.value), set()
         for batch in sliced(batches):
             keys, found = [], []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if key not in seen:  # most repetitions of a whole row end here
-                    keys.append(key)
-                    found.append(coder.rare(map(coder.__getitem__, dict.fromkeys(chunks))) if (chunks := chunks_of(t.as_py())) else coder.rare(coder.parts(t.as_py())))
-            seen = seen | set(keys) if len(seen) < SEEN else set(keys)
+            for o, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (o, k) in seen:  # most repetitions of a whole row end here
+                    continue
+                seen.add((o, k))
+                keys.append((o, k))
+                text = t.as_py()
+                chunks = chunks_of(text)
+                found.append(coder.rare(coder.parts(text) if chunks is None else map(coder.__getitem__, dict.fromkeys(chunks))))
+            if len(seen) > SEEN:
+                seen.clear()
             sizes = list(map(len, found))
+            key = np.repeat(np.array(keys, dtype=np.int64).reshape(-1, 2), sizes, axis=0)
             places = [j for n in sizes for j in range(n)]
-            columns = [pa.array(np.repeat(np.array(keys, dtype=np.int64), sizes)), pa.array(places, pa.int32()), pa.array(chain.from_iterable(found), pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_k", "j", "word"])
+            columns = [pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(places, pa.int32()), pa.array(chain.from_iterable(found), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_o", "_tag", "j", "word"])
 
-    others = rows.where("text <> ''").select("_k", "text").mapInArrow(rare, "_k long, j int, word string")
-    others = others.join(known.select("word", "path"), "word").select(F.col("_k").alias("_k2"), "j", "path").repartition(partitions(spark), "_k2")
+    others = rows.where("text <> ''").select("_o", "_tag", "text").mapInArrow(rare, "_o long, _tag long, j int, word string")
+    others = others.join(known.select("word", "path"), "word").select(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"), "j", "path")
+    others = others.repartition(partitions(spark), "_o2", "_t2").groupBy("_o2", "_t2")
     with small_batches(spark):
-        others = cut(others.groupBy("_k2").agg(F.collect_set(F.struct("j", "path")).alias("_rare")), "rare")  # within one document
+        others = cut(others.agg(F.collect_set(F.struct("j", "path")).alias("_rare")), "rare")  # within one document
     drop(known)
 
-    whole = packed(rows.select("_k", "doc_id", "text"))
-    joined = whole.join(others.hint("merge"), F.col("_k") == F.col("_k2"), "left")  # neither side has a bound
+    whole = packed(rows.select("_o", "_tag", "doc_id", "text"))
+    joined = whole.join(others.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")), "left")  # neither side has a bound
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, frequent = shared.value
+        own, frequent = shared.value, head.value
         coder = Coder(own, frequent)
         for batch in sliced(batches):
             codes: list[bytes | None] = []
@@ -476,8 +494,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
 
 def decode(encoded: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids") -> DataFrame:
     """``encoded`` and ``text``, in place of a column of that name: the text that the ids stand for."""
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces or Pieces.load())
-
+    shared = (pieces or Pieces.load()).everywhere(encoded.sparkSession)
     schema = encoded.drop("text").schema.add("text", "string")
     names = schema.names
 
