@@ -168,6 +168,30 @@ def test_private_use_characters_and_own_marks_come_back(spark, monkeypatch, head
     assert [got[k][0] for k in range(len(texts))] == [model.encode(t) for t in texts]
 
 
+def test_cutting_by_chunks_equals_cutting_the_text():
+    pieces, rng = sentencepiece_lattice.Pieces.load(), random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab the\n\t,.1é²\u2581  ") for _ in range(rng.randrange(1, 30)))
+        chunks = sentencepiece_lattice.chunks_of(text)
+        if chunks is not None:
+            assert [w for chunk in chunks for w in pieces.words(chunk)] == pieces.words(text)
+        else:
+            assert "  " in " " + text + " " or "\u2581" in text
+
+
+def test_pruned_lattices_hold_the_one_path_of_merging():
+    pieces, rng = sentencepiece_lattice.Pieces.load(), random.Random(6)
+    words = ["\u2581" + "".join(rng.choice("theandiosr") for _ in range(rng.randrange(1, 14))) for _ in range(200)]
+    rows = [sorted((e, s, pieces.id.get(w[s:e], -1)) for s in range(len(w)) for e in range(s + 1, len(w) + 1) if w[s:e] in pieces.id or e == s + 1) for w in words]
+    rows = [[r for r in row if pieces.reachable(r[2])] for row in rows]
+    ends, starts, found = (np.array([r[k] for row in rows for r in row]) for k in range(3))
+    first = np.concatenate([[0], np.cumsum([len(row) for row in rows])])
+    places, begin, before, each = pieces.alive(first, starts, ends, found)
+    for k, word in enumerate(words):
+        assert found[places[begin[k] : begin[k + 1]]].tolist() == sentencepiece_lattice.best_path(word, pieces)
+        assert before[each[begin[k]] : each[begin[k + 1]]].tolist() == list(range(-1, begin[k + 1] - begin[k] - 1))
+
+
 def test_long_words_stay_out_of_the_dictionary(spark, monkeypatch):
     import sentencepiece
 
