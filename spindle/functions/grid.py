@@ -43,19 +43,31 @@ def cell_centre(cell: Column, resolution: int) -> Column:
 
 
 def bounds(geometry: Column, metres: float = 0.0) -> Column:
-    """Bounding box of a WKB geometry, widened on all sides."""
+    """Bounding box of a WKB geometry, widened on all sides.
+
+    Marked as not deterministic: filters that Spark infers from a join (no side of a box is null) would otherwise be moved below it and
+    compute it a second time, with Python processes of their own in each task.
+    """
     wider = metres / geo.METRES_A_DEGREE
+    point = geo.encode(geo.POINT, [0.0, 0.0])
 
-    @F.pandas_udf("struct<x1: double, y1: double, x2: double, y2: double>")
     def run(g: pd.Series) -> pd.DataFrame:
         out = np.full((len(g), 4), np.nan)
+        points = []
         for k, x in enumerate(g):
-            if x is not None:
-                pts = geo.Shape(x).vertices()
-                out[k] = [*(pts.min(axis=0) - wider), *(pts.max(axis=0) + wider)]
+            if x is None:
+                continue
+            if len(x) == len(point) and x[:5] == point[:5]:
+                points.append(k)
+                continue
+            pts = geo.Shape(x).vertices()
+            out[k] = [*(pts.min(axis=0) - wider), *(pts.max(axis=0) + wider)]
+        raw = np.frombuffer(b"".join(g.iloc[points]), dtype=geo.POINT_BYTES)
+        for axis, name in enumerate(("x", "y")):
+            out[points, axis], out[points, axis + 2] = raw[name] - wider, raw[name] + wider
         return pd.DataFrame(out, columns=["x1", "y1", "x2", "y2"])
 
-    return run(geometry)
+    return F.pandas_udf(run, "struct<x1: double, y1: double, x2: double, y2: double>").asNondeterministic()(geometry)
 
 
 def covering(box: Column, resolution: int) -> Column:

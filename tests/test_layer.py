@@ -1,5 +1,7 @@
 """Edges of the semantic layer on small in-line frames."""
 
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +183,19 @@ def test_spatial_join_and_cells(spark):
     assert abs(row["lon"] - 10) <= grid.cell_degrees(3) / 2 and abs(row["lat"] - 20) <= grid.cell_degrees(3) / 2
 
 
+def test_spatial_join_evaluates_each_side_once(spark):
+    spots = spark.createDataFrame([(0, 1.0, 1.0), (1, None, 1.0), (2, 9.0, 9.0), (3, 3.0, 2.0)], "id int, x double, y double").select("id", geo.point("x", "y").alias("g"))
+    assert [r["g"] and bytes(r["g"]) for r in spots.orderBy("id").collect()] == [geo.encode(geo.POINT, [1, 1]), None, geo.encode(geo.POINT, [9, 9]), geo.encode(geo.POINT, [3, 2])]
+    big = b"\x00" + bytes([0, 0, 0, 1]) + struct.pack(">dd", 1, 2)  # a big-endian point takes the general way
+    box = [(1, 1), (3, 1), (3, 2), (1, 2), (1, 1)]
+    shapes = [(0, bytearray(geo.encode(geo.POLYGON, [box]))), (1, None), (2, bytearray(big)), (3, bytearray(geo.encode(geo.POINT, [1, 1])))]
+    shapes = spark.createDataFrame(shapes, "k int, z binary")
+    assert [r["b"] and tuple(r["b"]) for r in shapes.orderBy("k").select(grid.bounds(F.col("z")).alias("b")).collect()][2:] == [(1, 2, 1, 2), (1, 1, 1, 1)]
+    got = spatial.spatial_join(spots, shapes, "g", "z", "INTERSECTS", resolution=2)
+    assert sorted((r["id"], r["k"]) for r in got.collect()) == [(0, 0), (0, 3), (3, 0)]
+    assert got._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 3  # both boxes and the exact test; each is a process in every running task
+
+
 def test_mutations_and_time_travel(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.create("t", spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"))
