@@ -55,12 +55,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` has written and no later step reads; without any, only what finished steps have left behind.
 
-    The driver's garbage collection that follows lets Spark remove the shuffle files of those steps.
+    The driver's garbage collection that follows lets Spark remove the shuffle files of those steps.  The listener bus holds on to the last
+    event it was sent, and the end of a query is an event with the query's plan, so a job of one row is run first: without it the files of the
+    last step would stay until another one has ended.
     """
     context = SparkContext.getOrCreate()
     for df in tables:
         path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    context._jsc.parallelize(context._jvm.java.util.Collections.singletonList("")).count()
     context._jvm.System.gc()
 
 

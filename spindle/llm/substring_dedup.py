@@ -37,6 +37,7 @@ HOT_CONTENTS = 5_000
 SHARD_TOKENS = 400_000  #: words in a shard, about
 SEARCH_ROWS = 50_000  #: windows that are searched at once
 SEEN_CONTENTS = 200_000
+NO_RUNS = {name: pd.Series(dtype=kind) for name, kind in (("_o", "int64"), ("_tag", "int64"), ("a", "int32"), ("b", "int32"))}
 
 
 def names_of(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
@@ -67,6 +68,12 @@ def fragments_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams[at[starts]].view(np.int64), starts, ends
 
 
+def anchors_at(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Anchor hashes of the windows that start there."""
+    ahead = np.lib.stride_tricks.sliding_window_view(windows(h, GRAM), WINDOW - GRAM + 1)
+    return ahead[starts].min(axis=1).view(np.int64)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).withColumn("_o", order_id())
 
@@ -103,16 +110,15 @@ def salted(key: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return key ^ np.where(salt == 0, 0, mix(salt.astype(np.uint64)).view(np.int64))
 
 
-def fragments(rows: DataFrame) -> DataFrame:
-    """``(content, shard_key, _o, _tag, a, n, words)`` of every place of a repeated anchor; ``words`` at least once for each content and task."""
-    spark = rows.sparkSession
-    spread = anchors(rows).repartition(partitions(spark), "key")
+def repeated_anchors(rows: DataFrame) -> DataFrame:
+    """``(_o2, _t2, found)``: for each document the fragments ``(a, n)`` whose anchor occurs again; the anchors follow from the text."""
+    spread = anchors(rows).repartition(partitions(rows.sparkSession), "key")
     spread = spread.withColumn("total", F.sum("places").over(Window.partitionBy("key", "salt"))).where("salt <> 0 or total > 1")
-    by_doc = spread.groupBy(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2")).agg(
-        F.collect_set(F.struct("a", "n", "key", "salt")).alias("found")  # within one document
-    )
-    by_doc = cut(by_doc, "anchors")
-    drop()
+    return spread.groupBy(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2")).agg(F.collect_set(F.struct("a", "n")).alias("found"))  # within one document
+
+
+def fragments(rows: DataFrame, by_doc: DataFrame) -> DataFrame:
+    """``(content, shard_key, _o, _tag, a, n, words)`` of every place of a repeated anchor; ``words`` at least once for each content and task."""
     joined = packed(rows.select("_o", "_tag", "text"))
     joined = joined.join(by_doc.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")))  # neither side has a bound
     names = ["content", "shard_key", "_o", "_tag", "a", "n", "words"]
@@ -124,14 +130,14 @@ def fragments(rows: DataFrame) -> DataFrame:
             texts: list[bytes | None] = []
             places = batch.column(3)
             flat = places.values if hasattr(places, "values") else places.flatten()
-            fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(4)]  # a, n, key, salt
+            fields = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(2)]  # a, n
             ends = places.offsets.to_numpy()
             for row, (o, tag, z) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 found = zlib.decompress(z.as_py()).split()
-                a, n, key, salt = (f[ends[row] : ends[row + 1]] for f in fields)
-                a, n = a.astype(np.int64), n.astype(np.int64)
-                first, second = names_of(hashed(found, cache), a, a + n + (WINDOW - 1))
-                for column, x in zip(columns, (first, second, salted(key, salt), np.full(a.size, o), np.full(a.size, tag), a, n), strict=True):
+                a, n = (f[ends[row] : ends[row + 1]].astype(np.int64) for f in fields)
+                h = hashed(found, cache)
+                first, second = names_of(h, a, a + n + (WINDOW - 1))
+                for column, x in zip(columns, (first, second, anchors_at(h, a), np.full(a.size, o), np.full(a.size, tag), a, n), strict=True):
                     column.append(x)
                 for name, x, y in zip(zip(first.tolist(), second.tolist(), strict=True), a.tolist(), (a + n).tolist(), strict=True):
                     if name in seen:
@@ -152,8 +158,14 @@ def fragments(rows: DataFrame) -> DataFrame:
 
 
 def repeats_in_shard(pieces: pd.DataFrame) -> pd.DataFrame:
-    """``(_o, _tag, a, b)``: windows of the contents' first places that also start earlier, as runs of window starts."""
+    """``(_o, _tag, a, b)``: windows of the contents' first places that also start earlier, as runs of window starts.
+
+    A content that is alone with its anchor can't repeat and is left out; all of an anchor meet in this shard.
+    """
     cache = WordHashes()
+    pieces = pieces[pieces["single"] | pieces["shard_key"].duplicated(keep=False)]
+    if pieces.empty:
+        return pd.DataFrame(NO_RUNS)
     hashes = [hashed(w.split(), cache) for w in pieces["words"]]
     sizes = np.array([h.size for h in hashes])
     ends = np.cumsum(sizes + 1)
@@ -186,7 +198,7 @@ def repeats_in_shard(pieces: pd.DataFrame) -> pd.DataFrame:
             late[k + for_all] = rank[k + for_all] > earliest[which.ravel()]
     hit = np.flatnonzero(late)
     if not hit.size:
-        return pd.DataFrame({"_o": [], "_tag": [], "a": [], "b": []}).astype({"_o": "int64", "_tag": "int64", "a": "int32", "b": "int32"})
+        return pd.DataFrame(NO_RUNS)
     new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])])
     first = hit[new]
     last = np.append(hit[np.flatnonzero(new)[1:] - 1], hit[-1])
@@ -223,7 +235,10 @@ def later_places(found: DataFrame, several: DataFrame) -> DataFrame:
 def repeats(rows: DataFrame) -> DataFrame:
     """``(_o, _tag, spans)``: for each document with repeats the window starts that are repeats, as runs ``(a, b)``."""
     spark = rows.sparkSession
-    found = cut(fragments(rows), "fragments")
+    by_doc = cut(repeated_anchors(rows), "anchors")
+    drop()
+    found = cut(fragments(rows, by_doc), "fragments")
+    drop(by_doc)
     contents = found.groupBy("content").agg(
         F.min(F.struct("_o", "_tag", "a")).alias("f"), F.count(F.lit(1)).alias("places"), F.max("n").alias("n"), F.max("words").alias("words"),
         F.max("shard_key").alias("shard_key"),
@@ -231,24 +246,27 @@ def repeats(rows: DataFrame) -> DataFrame:
     contents = cut(contents.select("content", "f.*", "places", "n", "words", "shard_key"), "contents")
     drop()
 
-    shared = contents.groupBy("shard_key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") + WINDOW).alias("t")).where("c > 1")
-    shared = cut(shared, "shared")
-    meet = contents.join(shared.select("shard_key", "c"), "shard_key")
-    hot = cut(single_windows(meet.where(F.col("c") > HOT_CONTENTS)), "windows")
+    sizes = contents.groupBy("shard_key").agg(F.count(F.lit(1)).alias("c"))
+    crowded = cut(sizes.where(F.col("c") > HOT_CONTENTS).select("shard_key"), "crowded")  # one key for that many contents: mostly known to be small
+    hot = cut(single_windows(contents.join(crowded, "shard_key", "left_semi")), "windows")
+    drop()
     alone = hot.groupBy("content").agg(F.min(F.struct("_o", "_tag", "a")).alias("f"), F.count(F.lit(1)).alias("places"), F.max("words").alias("words"))
     alone = cut(alone, "window_contents")
-    tokens = (shared.where(F.col("c") <= HOT_CONTENTS).agg(F.sum("t")).first()[0] or 0) + alone.count() * (WINDOW + 1)
-    shards = max(partitions(spark), -(-int(tokens) // SHARD_TOKENS))
-    pieces = meet.where(F.col("c") <= HOT_CONTENTS).select("shard_key", "_o", "_tag", "a", "n", "words").unionByName(
-        alone.select(F.xxhash64("content").alias("shard_key"), "f.*", F.lit(1).alias("n"), "words")
+    drop()
+    pieces = contents.join(crowded, "shard_key", "left_anti").select("shard_key", "_o", "_tag", "a", "n", "words", F.lit(False).alias("single")).unionByName(
+        alone.select(F.xxhash64("content").alias("shard_key"), "f.*", F.lit(1).alias("n"), "words", F.lit(True).alias("single"))
     )
+    tokens = (contents.agg(F.sum(F.col("n") + WINDOW)).first()[0] or 0) + alone.count() * (WINDOW + 1)
+    shards = max(partitions(spark), -(-int(tokens) // SHARD_TOKENS))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("shard_key"), F.lit(shards)))
-    inner = pieces.select("shard", "_o", "_tag", "a", "n", "words").groupBy("shard").applyInPandas(repeats_in_shard, "_o long, _tag long, a int, b int")
+    inner = pieces.groupBy("shard").applyInPandas(repeats_in_shard, "_o long, _tag long, a int, b int")
 
     again = later_places(found, contents.where("places > 1").select("content", "places", F.struct("_o", "_tag", "a").alias("f")))
     again = again.unionByName(later_places(hot.withColumn("n", F.lit(1)), alone.where("places > 1").select("content", "places", "f")))
     again = again.select("_o", "_tag", "a", (F.col("a") + F.col("n") - 1).cast("int").alias("b"))
-    return inner.unionByName(again).groupBy("_o", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # within one document
+    out = cut(inner.unionByName(again).groupBy("_o", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeats")  # within one document
+    drop(found, contents, crowded, hot, alone)
+    return out
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,9 +275,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``kept`` are the words that stay, joined by one space; ``spans`` the runs of removed words as ``(start, length)``.
     """
     rows = keyed(docs, id_col, text_col)
-    gone = cut(repeats(rows), "repeats")
-    drop()
-    gone = gone.select(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"), "spans")
+    gone = repeats(rows).select(F.col("_o").alias("_o2"), F.col("_tag").alias("_t2"), "spans")
     joined = packed(rows.select("_o", "_tag", "doc_id", "text")).join(gone.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")), "left")
     span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span]

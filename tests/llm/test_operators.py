@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small frames: nulls, ties, empty and long texts, repeated rows, extra columns, empty tables."""
 
 import hashlib
+import os
 import random
 import time
 import zlib
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spindle.llm import components, exact_dedup, fm_index, html_extract, jaccard, language, lines, matroska, mixing, sentencepiece_lattice, substring_dedup, toxicity
+from spindle.llm import common, components, exact_dedup, fm_index, html_extract, jaccard, language, lines, matroska, mixing, sentencepiece_lattice, substring_dedup, toxicity
 from spindle.llm.shingles import WordHashes, shingle_set
 
 SCHEMA = "doc_id long, text string, _tag string, node string, extra int"
@@ -89,6 +90,39 @@ def test_substrings_of_odd_rows(spark):
     assert substring_dedup.dedup_substrings(odd(spark).limit(0)).count() == 0
 
 
+def test_dropping_frees_the_last_step(spark):
+    """Shuffle files of a finished step go with ``drop``, not only when the next step has ended."""
+
+    def files():
+        return {f for top, _, names in os.walk(spark.conf.get("spark.local.dir")) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before = files()
+    step = spark.range(2000).groupBy((F.col("id") % 100).alias("x")).agg(F.max("id").alias("m")).mapInArrow(lambda batches: batches, "x long, m long")
+    done = common.cut(step, "step")
+    made = files() - before
+    assert made
+    common.drop(done)
+    for _ in range(50):
+        if not made & files():
+            break
+        time.sleep(0.1)
+    assert not made & files()
+
+
+def test_substrings_move_texts_and_anchors_once(spark):
+    """Contents go to their shard by one exchange; what marks a repeated anchor is its place only."""
+    rows = substring_dedup.keyed(spark.createDataFrame([(k, f"{k} " + " ".join(f"w{j}" for j in range(40))) for k in range(6)], "doc_id long, text string"), "doc_id", "text")
+    marked = substring_dedup.repeated_anchors(rows)
+    assert marked.schema["found"].dataType.elementType.names == ["a", "n"]
+    found = substring_dedup.fragments(rows, marked).toPandas()
+    text = " ".join(["0", *(f"w{j}" for j in range(40))]).encode().split()
+    h = substring_dedup.hashed(text, substring_dedup.WordHashes())
+    anchor, start, _ = substring_dedup.fragments_of(h)
+    own = found[found["_o"] == 0].sort_values("a")
+    want = dict(zip(start.tolist(), anchor.tolist(), strict=True))
+    assert len(own) and all(want[a] == k for a, k in zip(own["a"], own["shard_key"], strict=True))
+
+
 def test_backward_search_counts_occurrences():
     rng = np.random.default_rng(5)
     tokens = rng.integers(0, 4, 500)
