@@ -44,6 +44,7 @@ CHUNKS, CHUNK_CHARS = 60_000, 64  #: what stands between two spaces is coded onc
 SEEN = 20_000  #: rows whose keys a task remembers, so that repeated ones are left out
 ROWS_AT_ONCE = 1_000  #: rows that are turned into Python objects together
 FOLD_LIMIT = 1024  #: longer words without such a place are folded by the Arrow helper
+LATTICE_PARTS = 4  #: the edges of a lattice are many times its words, so its tasks are smaller than others
 SPACE = "▁"
 OWN_SPACE = " "  #: stands for a U+2581 of the text: its spaces have become U+2581, so no text holds one any more, and no piece does
 SWAPPED = str.maketrans(" " + SPACE, SPACE + OWN_SPACE)
@@ -73,6 +74,12 @@ class Pieces:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"rows": [], "spines": {}, "beside": {}, "sent": None}  # tasks don't need the table, and remember their own
 
+    def forget(self) -> Pieces:
+        """These pieces without what was remembered for the lattice: Python processes outlive its tasks and would hold it in later steps."""
+        self.spines.clear()
+        self.beside.clear()
+        return self
+
     def unit_pattern(self) -> str:
         """How a text is cut into units: leading spaces belong to the word after them; a line feed has no piece and stands alone.
 
@@ -414,7 +421,7 @@ def word_paths(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataF
     with small_batches(docs.sparkSession):
         counts = cut(counted_words(docs, pieces, text_col), "counts")
         drop()
-        words = counts.repartition(partitions(docs.sparkSession), "word")
+        words = counts.repartition(LATTICE_PARTS * partitions(docs.sparkSession), "word")
         short = viterbi(lattice(words.where(F.length("word") <= FOLD_LIMIT), pieces), pieces)
         known = cut(short.unionByName(long_paths(counts.where(F.length("word") > FOLD_LIMIT), pieces)), "words")
     drop(counts)
@@ -439,7 +446,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     rows = row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).withColumn("_o", order_id())
 
     def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, seen = Coder(shared.value, head.value), set()
+        coder, seen = Coder(shared.value.forget(), head.value), set()
         for batch in sliced(batches):
             keys, found = [], []
             for o, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -469,7 +476,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     joined = whole.join(others.hint("merge"), (F.col("_o") == F.col("_o2")) & (F.col("_tag") == F.col("_t2")), "left")  # neither side has a bound
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, frequent = shared.value, head.value
+        own, frequent = shared.value.forget(), head.value
         coder = Coder(own, frequent)
         for batch in sliced(batches):
             codes: list[bytes | None] = []

@@ -109,6 +109,17 @@ def test_dropping_frees_the_last_step(spark):
     assert not made & files()
 
 
+def test_later_steps_hold_no_lattice(spark, monkeypatch):
+    pieces = sentencepiece_lattice.Pieces.load()
+    assert pieces.allowed(pieces.id["▁the"], pieces.id["▁of"]) and pieces.spines and pieces.beside
+    assert pieces.forget() is pieces and not pieces.spines and not pieces.beside
+    seen = []
+    monkeypatch.setattr(sentencepiece_lattice, "viterbi", lambda grid, pieces: seen.append(grid.rdd.getNumPartitions()) or grid.select("word", "n", F.lit(None).cast("array<int>").alias("path")))
+    docs = spark.createDataFrame([("one two",)], "text string")
+    sentencepiece_lattice.word_paths(docs, pieces)
+    assert seen == [sentencepiece_lattice.LATTICE_PARTS * common.partitions(spark)]
+
+
 def test_substrings_move_texts_and_anchors_once(spark):
     """Contents go to their shard by one exchange; what marks a repeated anchor is its place only."""
     rows = substring_dedup.keyed(spark.createDataFrame([(k, f"{k} " + " ".join(f"w{j}" for j in range(40))) for k in range(6)], "doc_id long, text string"), "doc_id", "text")
